@@ -23,8 +23,11 @@ SIMILARITY = 0.8
 BROADCAST_KEYS = 400_000
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by Myers' bit vectors; Python's integers hold a whole column."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by Myers' bit vectors; Python's integers hold a whole column.
+
+    With `most`, any distance above it may come back as most + 1, and sooner.
+    """
     if a == b:
         return 0
     low, high = 0, min(len(a), len(b))
@@ -50,7 +53,9 @@ def edit_distance(a: str, b: str) -> int:
         at[ch] = at.get(ch, 0) | (1 << i)
     full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = full, 0
-    for ch in b:
+    for left, ch in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        if most is not None and score - left - 1 > most:
+            return most + 1
         same = at.get(ch, 0)
         vertical = same | down
         flat = (((same & up) + up) ^ up) | same
@@ -72,7 +77,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     most = max(len(a), len(b))
     if min(len(a), len(b)) < least * most:
         return False
-    return most - edit_distance(a, b) >= least * most
+    allowed = int(most - least * most + 1e-9)
+    return edit_distance(a, b, allowed) <= allowed
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +131,12 @@ def near_prints(distinct: DataFrame, bits: int = BITS, parts: int = BLOCKS) -> D
     edges = [64 * i // parts for i in range(parts + 1)]
     masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen) for chosen in combinations(range(parts), parts - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+    # a hash of mask and masked bits is the key: a collision only adds a candidate, which the bit count decides
+    keyed = distinct.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
     left, right = keyed.alias("l"), keyed.alias("r")
     lf, rf = F.col("l.fp"), F.col("r.fp")
     return (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.t") == F.col("r.t")) & (lf < rf) & (F.bit_count(lf.bitwiseXOR(rf)) <= bits))
+        left.join(right, (F.col("l.key") == F.col("r.key")) & (lf < rf) & (F.bit_count(lf.bitwiseXOR(rf)) <= bits))
         .select(lf.alias("a"), rf.alias("b"))
         .distinct()
     )
@@ -210,7 +217,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     line = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("__tm_at"))
     cut = F.array_join(F.transform(kept, lambda i: F.get(line, i)), "\n")
-    out = docs.withColumn("__tm_row", row_key(id_col, text_col)).join(gone, "__tm_row", "left")
+    out = docs.withColumn("__tm_row", row_key(id_col, text_col)).join(gone.hint("shuffle_hash"), "__tm_row", "left")
     out = out.withColumn(text_col, F.when(F.col("__tm_at").isNull(), text).otherwise(cut))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],

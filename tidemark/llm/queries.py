@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines
+from tidemark.llm import decontam, lines, pieces, pii, secretscan
 from tidemark.llm._shared import table
 from tidemark.llm.simhash import near_duplicates
 
@@ -16,18 +16,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.fit(docs))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`doc_id, n_pieces, lossless, ids` of every document."""
+    found = pieces.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless", "ids")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_id, n_lines, n_gone, text`: the lines a document had and lost, and what is left of its text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return lines.dedup_lines(docs).select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("__tm_gone").alias("n_gone"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", F.col("__tm_gone").alias("n_gone"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_secrets": op5_secrets,
+    "op7_pii": op7_pii,
+    "op8_pieces": op8_pieces,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
