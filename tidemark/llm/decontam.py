@@ -144,11 +144,12 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """All rows of `docs`; hit words are cut out of the text, each with what stands between it and the word before."""
     hit = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").groupBy(F.col("row").alias("__tm_row")).agg(F.first("hits").alias("__tm_hits"))
     gone = F.array_distinct(F.flatten(F.transform("__tm_hits", lambda h: F.sequence(F.floor(h / 16).cast("int"), (F.floor(h / 16) + h % 16 - 1).cast("int")))))
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"{_BETWEEN}*{_WORD}+"), F.lit(0))
+    split = F.when(F.col("__tm_hits").isNotNull(), F.regexp_extract_all(F.col(text_col), F.lit(f"{_BETWEEN}*{_WORD}+"), F.lit(0)))
+    parts = F.col("__tm_parts")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     cut = F.concat(F.array_join(F.transform(left, lambda i: F.get(parts, i)), ""), F.regexp_extract(F.col(text_col), f"{_BETWEEN}*\\z", 0))
     marked = docs.withColumn("__tm_row", row_key(id_col, text_col)).join(hit, "__tm_row", "left")
-    return marked.withColumn(text_col, F.when(F.col("__tm_hits").isNull(), F.col(text_col)).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.withColumn("__tm_parts", split).withColumn(text_col, F.when(F.col("__tm_hits").isNull(), F.col(text_col)).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

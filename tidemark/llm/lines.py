@@ -198,7 +198,7 @@ def surplus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(line_links(lines)).withColumnsRenamed({"node": "key"})
     each = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     named = stored(each.join(roots, "key", "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "repeated")
-    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
+    stays = stored(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
     plan = stored(named.join(stays, "root").select("key", F.col("stays.row").alias("keep_row"), F.col("stays.pos").alias("keep_pos")), "plan")
     gone = lines.select("key", "row", "pos").join(plan, "key").where("row != keep_row or pos != keep_pos")
     out = stored(gone.groupBy("row").agg(F.collect_set("pos").alias("gone")), "gone")
@@ -214,11 +214,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = surplus(docs, id_col, text_col).withColumnsRenamed({"row": "__tm_row", "gone": "__tm_at"})
     text = F.col(text_col)
-    line = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("__tm_at"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(line, i)), "\n")
+    # split once, in a column of its own: within the lambda it would be split anew for every line
+    line = F.when(F.col("__tm_at").isNotNull(), F.split(text, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__tm_lines") - 1), F.col("__tm_at"))
+    cut = F.array_join(F.transform(kept, lambda i: F.get(F.col("__tm_lines"), i)), "\n")
     out = docs.withColumn("__tm_row", row_key(id_col, text_col)).join(gone.hint("shuffle_hash"), "__tm_row", "left")
-    out = out.withColumn(text_col, F.when(F.col("__tm_at").isNull(), text).otherwise(cut))
+    out = out.withColumn("__tm_lines", line).withColumn(text_col, F.when(F.col("__tm_at").isNull(), text).otherwise(cut))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size("__tm_at"), F.lit(0)).cast("long").alias("__tm_gone"),
