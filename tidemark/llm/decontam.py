@@ -10,6 +10,8 @@ from tidemark.llm._shared import row_key, stored
 WINDOW = 13
 #: Words before a window is built: only where these begin a benchmark window is the window itself looked up.
 ANCHOR = 3
+#: Windows that begin in so many consecutive words are looked for together.
+PIECE = 64
 #: The windows are broadcast if their texts and item lists hold at most so many bytes; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 48 << 20
 
@@ -51,8 +53,8 @@ def _head(array: Column, i: Column, count) -> Column:
     return F.xxhash64(*at, F.lit(1).cast("int") * count)
 
 
-def _heads_of(array: Column, n: Column, k: int):
-    return lambda x, i: F.when(i + k <= n, _head(array, i, F.lit(k)))
+def _heads_of(array: Column, m: Column, k: int):
+    return lambda x, i: F.when((i + k <= m) & (i < PIECE), _head(array, i, F.lit(k)))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, width: int, broadcast_bytes: int) -> DataFrame:
@@ -66,20 +68,28 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     kinds = sorted({min(ANCHOR, x) for x in lengths})
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), words(F.col(text_col)).alias("w"))
     base = base.withColumn("n", F.size("w"))
-    w, n = F.col("w"), F.col("n")
-    heads = [F.transform(w, _heads_of(w, n, k)) for k in kinds]
-    # after the heads of all positions, by kind, one null: the document's own row
-    spread = base.select("doc_id", "row", "n", "w", F.posexplode(F.concat(*heads, F.array(F.lit(None).cast("long")))).alias("p", "head"))
-    own = F.col("p") == n * len(kinds)
+    n = F.col("n")
+    # Texts are dealt out in pieces: every row of an explode is a copy of what stands beside it, so whole texts beside
+    # each position would cost the square of their length. Piece -1 is the document's own row, without words.
+    empty = F.array().cast("array<string>")
+    piece = lambda c: F.transform(F.sequence(c, F.least(c + (PIECE + width - 2), n - 1)), lambda j: F.get(F.col("w"), j))
+    starts = F.when(n > 0, F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), n - 1, F.lit(PIECE)))).otherwise(F.array(F.lit(-1)))
+    pieces = F.transform(starts, lambda c: F.struct(c.alias("c"), F.when(c >= 0, piece(c)).otherwise(empty).alias("w")))
+    parts = base.select("doc_id", "row", "n", F.explode(pieces).alias("x")).select("doc_id", "row", "n", "x.c", "x.w").withColumn("m", F.size("w"))
+    w, m, own = F.col("w"), F.col("m"), F.col("c") < 0
+    heads = [F.transform(w, _heads_of(w, m, k)) for k in kinds]
+    mark = F.when(own, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    spread = parts.select("doc_id", "row", "n", "c", "w", "m", F.posexplode(F.concat(*heads, mark)).alias("p", "head"))
     if small:
         at = F.broadcast(known.select("head", F.lit(1).alias("known")).distinct())
         spread = spread.join(at, "head", "left").where(own | F.col("known").isNotNull())
     fits = F.lit(None).cast("array<int>")
     for k, kind in enumerate(kinds):
-        fits = F.when(F.floor(F.col("p") / n) == k, F.array(*[F.lit(x) for x in lengths if min(ANCHOR, x) == kind])).otherwise(fits)
-    tried = spread.select("doc_id", "row", "n", "w", own.alias("own"), (F.col("p") % F.greatest(n, F.lit(1))).alias("i"), F.explode(F.when(own, F.array(F.lit(0))).otherwise(fits)).alias("l"))
-    tried = tried.where(F.col("own") | (F.col("i") + F.col("l") <= n))
-    tried = tried.select("doc_id", "row", "n", "own", (F.col("i") * 16 + F.col("l")).alias("hit"), F.when(~F.col("own"), _joined(w, F.col("i"), F.col("l"))).alias("window"))
+        fits = F.when(F.floor(F.col("p") / m) == k, F.array(*[F.lit(x) for x in lengths if min(ANCHOR, x) == kind])).otherwise(fits)
+    local = F.when(own, F.lit(0)).otherwise(F.col("p") % F.greatest(m, F.lit(1)))
+    tried = spread.select("doc_id", "row", "n", "c", "w", "m", own.alias("own"), local.alias("i"), F.explode(F.when(own, F.array(F.lit(0))).otherwise(fits)).alias("l"))
+    tried = tried.where(F.col("own") | ((F.col("i") + F.col("l") <= m) & (F.col("i") < PIECE)))
+    tried = tried.select("doc_id", "row", "n", "own", ((F.col("c") + F.col("i")) * 16 + F.col("l")).alias("hit"), F.when(~F.col("own"), _joined(w, F.col("i"), F.col("l"))).alias("window"))
     right = known.select("window", "items")
     if small:
         joined = tried.join(F.broadcast(right), "window", "left")

@@ -237,7 +237,7 @@ def encode_texts(v: Vocabulary, texts: list[str], seed: int = SEED, dropout: flo
     ids, at, count = encode_chunks(v, list(known), seed, dropout)
     which = np.concatenate(use) if use else np.zeros(0, np.int64)
     each = count[which]
-    ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(sizes)))]
+    ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)]
     return ids[_gather(at[which], each)], np.diff(ends)
 
 
@@ -245,7 +245,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]
     """UTF-8 of each run of ids, without the space that encoding puts before a text."""
     width = v.piece_size[ids]
     data = v.piece_bytes[_gather(v.piece_at[ids], width)].tobytes()
-    ends = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    ends = np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)].tolist()
     return [data[a + 1 if data[a : a + 1] == b" " else a : b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
