@@ -161,7 +161,7 @@ def test_secrets_odd_rows(spark, odd, none, same_ids):
 
 
 def test_pii_patterns():
-    text = "a.b@x.org, c@d 10.0.0.1 999.1.1.1 4539 1488 0343 6467 +1 (017) 555-7713. +12"
+    text = "a.b@x.org, c@d 10.0.0.1 999.1.1.1, 4539 1488 0343 6467 +1 (017) 555-7713. +12"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "a.b@x.org"), ("ip", "10.0.0.1"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (017) 555-7713")]
 
 
