@@ -258,7 +258,7 @@ def _variant(text: str, variants: int) -> int:
 def _encoder(held, seed: int, dropout: float, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        for batch in blocks(batches, "text", 16 << 20):
+        for batch in blocks(batches, "text", 8 << 20):
             texts = batch.column("text").to_pylist()
             ids: list = [None] * len(texts)
             whole = [False] * len(texts)
