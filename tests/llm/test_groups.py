@@ -96,6 +96,19 @@ def test_edit_distance_equals_a_table():
             assert (lines.edit_distance(a, b, most) <= most) == (row[-1] <= most)
 
 
+@pytest.mark.parametrize("hot", [10_000, 0, 4, 20])
+def test_near_prints_of_three_bits(spark, hot):
+    """Plain keys, finer keys for all, and both mixed; half the fingerprints share their low two blocks."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(15)] + [(rng.getrandbits(38) << 26) | 12345 for _ in range(15)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(9)} | {0, 1, 7, 2**64 - 1})
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    want = sorted(tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    got = sorted(tuple(sorted((r.a, r.b))) for r in lines.near_prints(spark.createDataFrame([(p,) for p in signed], "fp long"), hot=hot).collect())
+    assert got == want
+    assert want
+
+
 def line_groups(split):
     """Brute force over all pairs of different lines."""
     each = {r.key: (r.fp & (2**64 - 1), r.line) for r in split}

@@ -18,6 +18,8 @@ from tidemark.llm.simhash import bit_majority
 BITS = 3
 #: Of so many blocks, at least BLOCKS - BITS agree; every pair of blocks is a join key.
 BLOCKS = 5
+#: Under a pair of blocks that more different fingerprints share, more blocks are added to the key.
+HOT_KEY = 2000
 SIMILARITY = 0.8
 #: So many line keys are broadcast at most when texts of candidate lines are fetched; more go by shuffle.
 BROADCAST_KEYS = 400_000
@@ -123,16 +125,50 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).mapInArrow(_split, "doc_id long, row long, pos int, key long, fp long, line string")
 
 
-def near_prints(distinct: DataFrame, bits: int = BITS, parts: int = BLOCKS) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _cut_mask(mask: int, parts: int) -> list[int]:
+    """The set bits of a mask, low ones first, dealt into `parts` masks of about as many bits each."""
+    at = [i for i in range(64) if mask >> i & 1]
+    edges = [len(at) * i // parts for i in range(parts + 1)]
+    return [sum(1 << i for i in at[low:high]) for low, high in zip(edges, edges[1:], strict=False)]
+
+
+def _keys(masks: list[int]):
+    """A hash of each mask and the bits under it. A collision only adds a candidate, which the bit count decides."""
+    return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
+
+
+def near_prints(distinct: DataFrame, bits: int = BITS, parts: int = BLOCKS, hot: int = HOT_KEY) -> DataFrame:
     """Pairs `a, b` of different fingerprints in column `fp` that differ in at most `bits` bits.
 
     With five blocks and three bits, two blocks agree at least: the ten pairs of blocks are the keys.
+    Rows under a key that over `hot` fingerprints share are given finer keys instead: the bits outside
+    the key are cut into twice `bits` blocks, of which half agree at least, and each such half joins
+    the key. A pair that meets under the key meets under a finer one, so none is lost.
     """
-    edges = [64 * i // parts for i in range(parts + 1)]
-    masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen) for chosen in combinations(range(parts), parts - bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    # a hash of mask and masked bits is the key: a collision only adds a candidate, which the bit count decides
-    keyed = distinct.select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
+    blocks_ = _cut_mask((1 << 64) - 1, parts)
+    chosen = list(combinations(range(parts), parts - bits))
+    masks = [sum(blocks_[i] for i in c) for c in chosen]
+    keyed = distinct.select("fp", F.explode(_keys(masks)).alias("key"))
+    # a key can be hot only if each of its blocks is; a block of 13 bits has 8,192 values, so these counts are few at any size
+    block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(blocks_)]))
+    hot_blocks = stored(distinct.select(block.alias("x")).groupBy("x.i", "x.v").count().where(F.col("count") > hot).select("i", "v"), "hot-blocks")
+    if hot_blocks.limit(1).count():
+        numbered = distinct.select("fp", F.posexplode(_keys(masks)).alias("k", "key"))
+        maybe = numbered
+        for j in range(parts - bits):
+            which = F.get(F.array(*[F.lit(c[j]) for c in chosen]), F.col("k"))
+            under = F.get(F.array(*[F.lit(_signed(blocks_[c[j]])) for c in chosen]), F.col("k"))
+            maybe = maybe.withColumn("i", which).withColumn("v", F.col("fp").bitwiseAND(under)).join(F.broadcast(hot_blocks), ["i", "v"], "left_semi").drop("i", "v")
+        crowded = stored(maybe.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
+        if crowded.limit(1).count():
+            finer = [[m | sum(some) for some in combinations(_cut_mask(((1 << 64) - 1) ^ m, 2 * bits), bits)] for m in masks]
+            each = F.get(F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in finer]), F.col("k"))
+            dense = numbered.join(crowded, "key", "left_semi").select("fp", F.explode(F.transform(each, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
+            keyed = keyed.join(crowded, "key", "left_anti").select("fp", "key").union(dense)
     left, right = keyed.alias("l"), keyed.alias("r")
     lf, rf = F.col("l.fp"), F.col("r.fp")
     return (
