@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, lines, pieces, simhash
-from tidemark.llm._shared import stored, table
+from tidemark.llm._shared import release, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet and read by the next."""
+    """Apply the stages to documents, each written as Parquet, read by the next and then deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        after = stored(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = after
     return docs
