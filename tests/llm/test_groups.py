@@ -200,3 +200,24 @@ def test_embeddings_equal_brute_force(spark):
         assert (got.kept == (got.component_id == got.index)).all()
     assert embeddings.near_duplicates(df.where("false")).count() == 0
     assert embeddings.near_duplicates(df.withColumn("node", F.lit(1)).withColumn("n", F.lit(2))).count() == len(rows)
+
+
+def test_lines_link_by_edit_similarity_alone(spark):
+    """One word in ten changed, and short lines: most such pairs differ in more than three bits."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    rows = []
+    for n in [4, 5, 7, 9, 12, 20, 30, 50, 80] * 6:
+        line = [word() for _ in range(n)]
+        other = list(line)
+        for at in rng.sample(range(n), max(1, n // 10)):
+            other[at] = word()
+        rows += [" ".join(line), " ".join(other)]
+    rows += ["colour", "colours", "harbours", "harbour", "internationalisation of things", "internationalization of things"]
+    split = lines.split_lines(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string")).collect()
+    want = [(a, b) for i, a in enumerate(split) for b in split[:i] if lines.similar(a.line, b.line)]
+    assert sum(((a.fp ^ b.fp) & (2**64 - 1)).bit_count() > 3 for a, b in want) > len(want) / 2
+    got = {tuple(sorted((r.a, r.b))) for r in lines.line_links(spark.createDataFrame(split)).collect()}
+    hit = sum(tuple(sorted((a.key, b.key))) in got for a, b in want)
+    assert hit >= 0.98 * len(want)
+    assert got <= {tuple(sorted((a.key, b.key))) for a, b in want}

@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash of lines, pigeonhole blocks, edit similarity, one occurrence per group."""
+"""Fuzzy line deduplication: MinHash bands of words and characters, SimHash, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
@@ -7,16 +7,24 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import blocks, release, row_key, ship, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import bit_majority
 
-#: Lines are compared if their SimHashes differ in at most so many bits.
-BITS = 3
-#: Of so many blocks, at least BLOCKS - BITS agree; every pair of blocks is a join key.
+#: Lines link by edit similarity alone: any number of SimHash bits may differ.
+BITS = 64
+#: Candidates with at least SHORT different words each are not compared if more bits differ; unrelated lines differ in 32 or so.
+FAR_BITS = 24
+#: Lines are compared if all ROWS minima of their words' hashes agree in one of BANDS bands.
+ROWS, BANDS = 5, 20
+#: Lines of fewer different words are banded by their runs of GRAM characters as well,
+SHORT, GRAM, GRAM_ROWS, GRAM_BANDS = 12, 3, 3, 24
+#: and lines of fewer characters than this, where one edit at most is allowed, by themselves with any one character left out.
+TINY = 10
+#: near_prints(): of so many blocks, at least BLOCKS - 3 agree; every pair of blocks is a join key.
 BLOCKS = 5
 #: Under a pair of blocks that more different fingerprints share, more blocks are added to the key.
 HOT_KEY = 2000
@@ -141,7 +149,7 @@ def _keys(masks: list[int]):
     return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
 
 
-def near_prints(distinct: DataFrame, bits: int = BITS, parts: int = BLOCKS, hot: int = HOT_KEY) -> DataFrame:
+def near_prints(distinct: DataFrame, bits: int = 3, parts: int = BLOCKS, hot: int = HOT_KEY) -> DataFrame:
     """Pairs `a, b` of different fingerprints in column `fp` that differ in at most `bits` bits.
 
     With five blocks and three bits, two blocks agree at least: the ten pairs of blocks are the keys.
@@ -178,9 +186,27 @@ def near_prints(distinct: DataFrame, bits: int = BITS, parts: int = BLOCKS, hot:
     )
 
 
+def _letters(texts: list[bytes]) -> np.ndarray:
+    """How often each text has the bytes of each of 64 classes."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    cell = np.repeat(np.arange(len(texts)) * 64, sizes) + (np.frombuffer(b"".join(texts), dtype=np.uint8) & 63)
+    return np.bincount(cell, minlength=64 * len(texts)).reshape(-1, 64)
+
+
+def _may_be_similar(x: list[str], y: list[str], least: float = SIMILARITY) -> np.ndarray:
+    """False only where the counts of bytes rule similar() out: an edit changes at most four bytes to others."""
+    a, b = ([t.encode("utf-8", "replace") for t in side] for side in (x, y))
+    away = _letters(a) - _letters(b)
+    most = np.maximum(np.where(away > 0, away, 0).sum(axis=1), np.where(away < 0, -away, 0).sum(axis=1))
+    chars = np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+    plain = np.array([p.isascii() and q.isascii() for p, q in zip(x, y, strict=True)])
+    return most <= (chars - least * chars + 1e-9).astype(np.int64) * np.where(plain, 1, 4)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+    for batch in blocks(batches, "x", 1 << 20):
+        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        ok = [bool(m) and similar(p, q) for m, p, q in zip(_may_be_similar(x, y), x, y, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -195,33 +221,106 @@ def _tested(pairs: DataFrame, lines: DataFrame, what: str) -> DataFrame:
     return out
 
 
+_RNG = np.random.default_rng(10)
+_MUL, _ADD = (_RNG.integers(0, 1 << 64, ROWS * BANDS + GRAM_ROWS * GRAM_BANDS, dtype=np.uint64) for _ in range(2))
+_MUL |= np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _minima(hashes: list[int], lengths: list[int], rows: int, bands: int, first: int) -> np.ndarray:
+    """A row of band keys for each set of hashes."""
+    x = np.array(hashes, dtype=np.uint64)
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    out = np.empty((len(lengths), bands), dtype=np.uint64)
+    for band in range(bands):
+        key = np.full(len(lengths), first + band, dtype=np.uint64)
+        for i in range(first + band * rows, first + (band + 1) * rows):
+            key = (key ^ (key >> np.uint64(29))) * _MIX + np.minimum.reduceat(x * _MUL[i] + _ADD[i], begin)
+        out[:, band] = key
+    return out
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, band key) of lines in normal form; two lines are candidates if they share a key."""
+    from xxhash import xxh64_intdigest as h
+
+    hashes, lengths, grams, sizes, short, tiny, tiny_keys = [], [], [], [], [], [], []
+    for i, line in enumerate(lines):
+        words = set(line.split())
+        lengths.append(len(words))
+        hashes.extend(map(h, words))
+        if len(words) < SHORT:
+            each = {line[k : k + GRAM] for k in range(max(1, len(line) - GRAM + 1))}
+            short.append(i)
+            sizes.append(len(each))
+            grams.extend(map(h, each))
+        if len(line) < TINY:
+            each = {line} | {line[:k] + line[k + 1 :] for k in range(len(line))}
+            tiny.extend(repeat(i, len(each)))
+            tiny_keys.extend(h(x, 1) for x in each)
+    at = [np.repeat(np.arange(len(lines)), BANDS)]
+    keys = [_minima(hashes, lengths, ROWS, BANDS, 0).reshape(-1)]
+    if short:
+        at.append(np.repeat(np.array(short), GRAM_BANDS))
+        keys.append(_minima(grams, sizes, GRAM_ROWS, GRAM_BANDS, ROWS * BANDS).reshape(-1))
+    if tiny:
+        at.append(np.array(tiny))
+        keys.append(np.array(tiny_keys, dtype=np.uint64))
+    return np.concatenate(at), np.concatenate(keys)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for batch in blocks(batches, "line", 1 << 20):
+        texts, keys = [], []
+        for key, line in zip(batch.column("key").to_pylist(), batch.column("line"), strict=True):
+            if key not in seen:  # a line that is in the task many times comes once or, past so many lines, a few times
+                seen.add(key)
+                keys.append(key)
+                texts.append(line.as_py())
+        if len(seen) > 1 << 19:
+            seen.clear()
+        if texts:
+            at, band = band_keys(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[at])], ["band", "key"])
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """`a, b` of pairs `x, y` of structs key, fp, words; a < b, each once, without long lines of far fingerprints."""
+    far = F.least("x.words", "y.words") >= SHORT
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR_BITS
+    return pairs.where("x.key != y.key").where(~far | near).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def line_links(lines: DataFrame) -> DataFrame:
-    """Edges `a, b` between line keys whose components are those of all pairs within BITS bits and of edit similarity SIMILARITY or more.
+    """Edges `a, b` between line keys whose components are those of all pairs that share a band and have edit similarity SIMILARITY or more.
 
-    Lines of one fingerprint are first tested against the one with the least key, and
-    fingerprints by their least lines. Only where such a test fails are the other pairs tested,
-    so a large group of alike lines costs a test a line, and yet no link between groups is lost.
+    Lines of one band key are first tested against the one with the least key. Only lines that
+    fail are paired with all others of the band key, so a large group of alike lines costs a test a
+    line, and yet no link in it is lost.
     """
-    each = stored(lines.select("key", "fp").distinct(), "lines")
-    groups = stored(each.groupBy("fp").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")), "line-groups")
-    near = stored(near_prints(groups.select("fp")), "near")
-    rep = lambda c: groups.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"))
-    cross = stored(near.join(rep("a"), "a").join(rep("b"), "b"), "cross")
-    star = stored(each.join(groups.where("n > 1"), "fp").where("key != rep").select("fp", "key", "rep"), "star")
-    first = _tested(star.select(F.col("rep").alias("a"), F.col("key").alias("b")).union(cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))), lines, "first")
+    ship(lines.sparkSession)
+    own = Window.partitionBy("band")
+    banded = lines.select("key", "line").mapInArrow(_banded, "band long, key long").select("band", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
+    shared = stored(banded.where("rep < last").select("band", "key", "rep").distinct(), "shared")
+    wanted = shared.select("key").distinct()
+    words = F.size(F.array_distinct(F.split("line", " ")))
+    print_of = stored(lines.select("key", "fp", words.alias("words")).join(wanted, "key", "left_semi").distinct(), "prints")
+    line = F.struct("key", "fp", "words")
+    rep = print_of.select(F.col("key").alias("rep"), line.alias("x"))
+    star = shared.where("key != rep").select("rep", "key").distinct().join(print_of.select("key", line.alias("y")), "key").join(rep, "rep")
+    first = _tested(stored(_candidates(star), "star"), lines, "first")
     found = first.where("ok").select("a", "b")
-    bad = first.where("not ok")
-    alone = stored(star.join(bad.select(F.col("a").alias("rep"), F.col("b").alias("key")), ["rep", "key"]).select("fp", "key"), "alone")
-    loose = stored(
-        cross.where("n_a * n_b > 1").join(bad.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), ["rep_a", "rep_b"]).select("a", "b"), "loose"
-    )
-    if alone.limit(1).count() or loose.limit(1).count():
-        member = lambda c: each.select(F.col("fp").alias(c), F.col("key").alias(f"key_{c}"))
-        both_ways = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(groups.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-        more = alone.withColumnsRenamed({"fp": "a", "key": "key_a"}).join(both_ways, "a").join(member("b"), "b").select("key_a", "key_b")
-        more = more.union(loose.join(member("a"), "a").join(member("b"), "b").select("key_a", "key_b"))
-        pairs = more.where("key_a != key_b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    # the least key is a: pairs that the test failed or the bits ruled out
+    linked = found.select(F.col("a").alias("rep"), F.col("b").alias("key"))
+    crowd = shared.groupBy("band").count().where("count > 2").select("band")
+    alone = stored(shared.where("key != rep").join(crowd, "band", "left_semi").join(linked, ["rep", "key"], "left_anti"), "alone")
+    if alone.limit(1).count():
+        left = alone.join(print_of.select("key", line.alias("x")), "key").select("band", "x")
+        right = shared.where("key != rep").join(alone.select("band").distinct(), "band", "left_semi").join(print_of.select("key", line.alias("y")), "key").select("band", "y")
+        pairs = stored(_candidates(left.join(right, "band")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         found = found.union(_tested(pairs, lines, "more").where("ok").select("a", "b"))
+    release(shared, print_of, alone)
     return found
 
 
