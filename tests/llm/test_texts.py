@@ -272,3 +272,15 @@ def test_quality_odd_rows(spark, odd, none, same_ids):
     same_ids(out)
     assert all(0 <= r.score <= 1 for r in out.collect())
     assert quality.score(none, quality.fit(none, labels.where("false"))).count() == 0
+
+
+def test_a_secret_at_the_end_of_a_path_is_found(spark):
+    rng = random.Random(21)
+    b64 = secretscan.string.ascii_letters + secretscan.string.digits + "+/"
+    paths = ["/".join([*rng.choices(secretscan.PARTS, k=6), "".join(rng.choices(b64, k=32))]) for _ in range(200)]
+    plain = ["/".join(rng.choices(secretscan.PARTS, k=7)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(paths + plain)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secretscan.scan(docs).collect()}
+    ends = [int(got[i].spans.rsplit(":", 1)[1]) if got[i].spans else -1 for i in range(200)]
+    assert sum(e == len(p) for e, p in zip(ends, paths, strict=True)) >= 190
+    assert sum(got[i].n_random > 0 for i in range(200, 400)) <= 2

@@ -28,6 +28,7 @@ LEAST = 20
 _CODE = np.full(256, -1, dtype=np.int16)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
 _TOKEN_BYTES = _CODE >= 0
+SEPARATORS = frozenset(b"/=_-")
 
 #: Labelled samples: so many of either kind, and so many documents and words of each for the corpus's own words.
 SAMPLES = 4000
@@ -92,11 +93,48 @@ class Markov:
         # the threshold stands above every held-back ordinary string
         ordinary = [self.score_one(s) for i, (s, y) in enumerate(samples) if not i % 4 and y == 0]
         self.threshold = max(0.15, max(ordinary, default=0.0) + 0.05)
+        # the best stretch of an ordinary string scores above its mean, so stretches have a threshold of their own
+        ordinary = [self.best_stretch(s) for i, (s, y) in enumerate(samples) if not i % 4 and y == 0 and len(s) >= LEAST]
+        self.inner = max(self.threshold, max(ordinary, default=0.0) + 0.05)
 
     def score_one(self, s: str) -> float:
         data = np.frombuffer(s.encode(), dtype=np.uint8)
         return float(self.score(data, np.array([0]), np.array([len(data)]))[0])
 
+    def _steps(self, data: np.ndarray) -> np.ndarray:
+        """The ratio of each character of one run."""
+        code = _CODE[data].astype(np.int64)
+        return self.ratio[np.concatenate(([len(ALPHABET)], code[:-1])), code]
+
+    @staticmethod
+    def _best_mean(step: np.ndarray) -> float:
+        # a stretch of twice LEAST or more has a part of LEAST or more that scores no less
+        total = np.concatenate(([0.0], np.cumsum(step)))
+        return max((float((total[n:] - total[:-n]).max()) / n for n in range(LEAST, min(2 * LEAST, len(total)))), default=-np.inf)
+
+    def best_stretch(self, s: str) -> float:
+        """The highest mean of a stretch of LEAST or more characters."""
+        return self._best_mean(self._steps(np.frombuffer(s.encode(), dtype=np.uint8)))
+
+    def stretches(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """Disjoint stretches of a run that pass `inner`, each widened to the separators around it."""
+        step, out, todo = self._steps(data), [], [(0, len(data))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < LEAST or self._best_mean(step[low:high]) <= self.inner:
+                continue
+            total = np.concatenate(([0.0], np.cumsum(step[low:high] - self.inner)))
+            least = np.minimum.accumulate(total[:-LEAST])  # the lowest sum at or before each possible start
+            stop = int((total[LEAST:] - least).argmax())
+            begin, end = low + int(total[: stop + 1].argmin()), low + stop + LEAST
+            while begin > low and data[begin - 1] not in SEPARATORS:
+                begin -= 1
+            while end < high and data[end] not in SEPARATORS:
+                end += 1
+            out.append((begin, end))
+            todo += [(low, begin), (end, high)]
+        return sorted(out)
+
     def score(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = end - start
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -145,6 +183,9 @@ def _scanner(model: Markov):
                 score = model.score(data, start, end)
                 for s, e in zip(start[score > model.threshold].tolist(), end[score > model.threshold].tolist(), strict=True):
                     odd.setdefault(int(owners(np.array([s]), offsets)[0]), []).append((s, e))
+                for s, e in zip(start[score <= model.threshold].tolist(), end[score <= model.threshold].tolist(), strict=True):
+                    for a, b in model.stretches(data[s:e]) if e - s > LEAST else ():
+                        odd.setdefault(int(owners(np.array([s]), offsets)[0]), []).append((s + a, s + b))
             flagged[list(odd)] = True
             counts = np.zeros((4, n), dtype=np.int64)
             spans, digest = [""] * n, [hashlib.sha256(b"").hexdigest()] * n
@@ -194,7 +235,7 @@ def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", t
 
     spans joins `kind:start:end` in code points by start. Kind `random` is the models' own: a run
     of LEAST or more token characters whose log-likelihood ratio passes the threshold and
-    that no fixed span overlaps. Null texts count as empty; repeated rows give as many rows.
+    that no fixed span overlaps; of a run that does not pass, the stretches of LEAST or more that do. Null texts count as empty; repeated rows give as many rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
