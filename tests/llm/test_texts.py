@@ -284,3 +284,16 @@ def test_a_secret_at_the_end_of_a_path_is_found(spark):
     ends = [int(got[i].spans.rsplit(":", 1)[1]) if got[i].spans else -1 for i in range(200)]
     assert sum(e == len(p) for e, p in zip(ends, paths, strict=True)) >= 190
     assert sum(got[i].n_random > 0 for i in range(200, 400)) <= 2
+
+
+@pytest.mark.parametrize("before", [[], [(None, "")], [("user", "hello"), ("assistant", "hi")]])
+def test_a_later_system_turn_is_kept(spark, before):
+    turns = [*before, ("system", "answer briefly"), *[(r, " ".join(["word"] * 12)) for _ in range(6) for r in ("user", "assistant")]]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)]
+    windows = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=80).orderBy("window").collect()
+    said = [chat.parse(w.text) for w in windows]
+    assert len(said) > 2
+    assert [t for w, x in zip(windows, said, strict=True) for t in x[w.n_repeated :]] == [(r or "", t) for r, t in turns]
+    first = next(i for i, x in enumerate(said) if ("system", "answer briefly") in x)
+    assert all(x[0] == ("system", "answer briefly") for x in said[first + 1 :])
+    assert all(x.count(("system", "answer briefly")) == 1 for x in said[first:])

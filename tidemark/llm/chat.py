@@ -2,7 +2,7 @@
 
 A turn is written `### role: text</turn>` and a line end; control strings inside texts are
 escaped by backslashes. Running sums of turn tokens choose spans of whole turns: each window holds
-the conversation's system turn, a few turns of history if they fit, and new turns up to the
+the conversation's first system turn, wherever it stood before, a few turns of history if they fit, and new turns up to the
 budget. Only assistant texts in new turns are under the loss mask, so each is a target once.
 """
 
@@ -68,7 +68,6 @@ class _Conversation:
         self.system: list[Turn] = []
         self.repeated: list[Turn] = []
         self.new: list[Turn] = []
-        self.any = False
 
     def add(self, turn: Turn) -> dict | None:
         out = None
@@ -79,9 +78,8 @@ class _Conversation:
             while past and sum(t.size for t in past) > room:
                 past.pop(0)
             self.repeated, self.new, self.begin = self.system + past, [], self.total
-        if not self.any and turn.role == "system":
+        if not self.system and turn.role == "system":
             self.system = [turn]
-        self.any = True
         self.new.append(turn)
         self.total += turn.size
         return out
