@@ -1,49 +1,50 @@
-"""Fuzzy line deduplication: MinHash bands of words and characters, SimHash, edit similarity, one occurrence per group."""
+"""Fuzzy line deduplication: SimHash in blocks of word pairs, equality joins on the blocks, edit similarity, one occurrence per group."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._bytes import flat, owners, runs, table
 from tidemark.llm._shared import blocks, release, row_key, ship, stored
 from tidemark.llm.components import components
 from tidemark.llm.simhash import bit_majority
 
-#: Lines link by edit similarity alone: any number of SimHash bits may differ.
-BITS = 64
-#: Candidates with at least SHORT different words each are not compared if more bits differ; unrelated lines differ in 32 or so.
-FAR_BITS = 24
-#: Lines are compared if all ROWS minima of their words' hashes agree in one of BANDS bands.
-ROWS, BANDS = 5, 20
-#: Lines of fewer different words are banded by their runs of GRAM characters as well,
-SHORT, GRAM, GRAM_ROWS, GRAM_BANDS = 12, 3, 3, 24
-#: and lines of fewer characters than this, where one edit at most is allowed, by themselves with any one character left out.
-TINY = 10
-#: near_prints(): of so many blocks, at least BLOCKS - 3 agree; every pair of blocks is a join key.
-BLOCKS = 5
-#: Under a pair of blocks that more different fingerprints share, more blocks are added to the key.
-HOT_KEY = 2000
 SIMILARITY = 0.8
+#: A line of up to STEEP characters has about two blocks for every CHARS of them; beyond, the number of blocks grows with this power of the length.
+CHARS, STEEP, GROWTH = 28, 400, 0.7
+#: Lines under so many characters are also cut into twice as many blocks.
+BRIEF = 160
+#: Candidates of at least SHORT words each are not tested if the SimHashes of their words or of their pairs of words differ in more bits; unrelated lines differ in 32 or so.
+SHORT, FAR_BITS, FAR_PAIRS = 12, 22, 26
+#: Rounds in which lines under one block are tested against one of them go on while a round at least halves the pairs left and these are more than so many a line.
+PAIRS_A_LINE = 4
+#: Lines under one block are paired in parts of about so many.
+PART = 2000
 #: So many line keys are broadcast at most when texts of candidate lines are fetched; more go by shuffle.
-BROADCAST_KEYS = 400_000
+BROADCAST_KEYS = 1_000_000
+#: Texts from this length on are first tried by an upper bound of their distance.
+LONG = 2000
 
+_HASH_BITS = 42
+_BLANK = table(b" \t\n\x0b\x0c\r")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance by Myers' bit vectors; Python's integers hold a whole column.
 
-    With `most`, any distance above it may come back as most + 1, and sooner.
-    """
-    if a == b:
-        return 0
+# --- edit similarity ---------------------------------------------------------------------------
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common prefix and suffix, which are found by bisection."""
     low, high = 0, min(len(a), len(b))
-    while low < high:  # the longest common prefix, by bisection
+    while low < high:
         mid = (low + high + 1) // 2
-        if a[:mid] == b[:mid]:
+        if a[low:mid] == b[low:mid]:
             low = mid
         else:
             high = mid - 1
@@ -51,11 +52,21 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     low, high = 0, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
-        if a[len(a) - mid :] == b[len(b) - mid :]:
+        if a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low]:
             low = mid
         else:
             high = mid - 1
-    a, b = a[: len(a) - low], b[: len(b) - low]
+    return a[: len(a) - low], b[: len(b) - low]
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by Myers' bit vectors; Python's integers hold a whole column.
+
+    With `most`, any distance above it may come back as most + 1, and sooner.
+    """
+    if a == b:
+        return 0
+    a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     at: dict[str, int] = {}
@@ -68,9 +79,9 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
             return most + 1
         same = at.get(ch, 0)
         vertical = same | down
-        flat = (((same & up) + up) ^ up) | same
-        rise = down | (full & ~(flat | up))
-        fall = up & flat
+        flat_ = (((same & up) + up) ^ up) | same
+        rise = down | (full & ~(flat_ | up))
+        fall = up & flat_
         if rise & top:
             score += 1
         elif fall & top:
@@ -82,108 +93,354 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+def _at_most(a: str, b: str) -> int:
+    """An upper bound: words that either side has once are held in order where most of them agree; what is between is measured if it is short, else replaced."""
+
+    def once(t: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        place = 0
+        for w in t.split(" "):
+            out[w] = -1 if w in out else place
+            place += len(w) + 1
+        return out
+
+    there = once(b)
+    both = [(i, there[w], len(w)) for w, i in once(a).items() if w and i >= 0 and there.get(w, -1) >= 0]
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = [-1] * len(both)
+    for k, (_, j, _) in enumerate(both):  # the longest rising run of places in b
+        p = bisect_left(tails, j)
+        before[k] = ends[p - 1] if p else -1
+        tails[p : p + 1], ends[p : p + 1] = [j], [k]
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(both[k])
+        k = before[k]
+    total, i, j = 0, 0, 0
+    for p, q, n in [*reversed(chain), (len(a), len(b), 0)]:
+        x, y = a[i:p], b[j:q]
+        total += edit_distance(x, y) if len(x) * len(y) <= 1 << 18 else max(len(x), len(y))
+        i, j = p + n, q + n
+    return total
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Edit similarity, 1 - distance / longer length, of at least `least`."""
+    """Edit similarity, 1 - distance / longer length, of at least `least`.
+
+    Long near copies are decided by an upper bound of the distance; other long pairs cost the
+    product of their lengths, 64 cells at a time, and unlike lines do not come here (see _near()).
+    """
     most = max(len(a), len(b))
     if min(len(a), len(b)) < least * most:
         return False
     allowed = int(most - least * most + 1e-9)
+    a, b = _trimmed(a, b)
+    if min(len(a), len(b)) >= LONG and _at_most(a, b) <= allowed:
+        return True
     return edit_distance(a, b, allowed) <= allowed
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_64_intdigest as key_of
-    from xxhash import xxh64_intdigest as h
-
-    for batch in blocks(batches, "text", 4 << 20):
-        doc, pos, key, texts, hashes, lengths = [], [], [], [], [], []
-        for d, x in enumerate(batch.column("text")):
-            if not x.is_valid:
-                continue
-            for i, line in enumerate(x.as_buffer().to_pybytes().lower().split(b"\n")):
-                words = line.split()
-                if not words:
-                    continue
-                plain = b" ".join(words)
-                doc.append(d)
-                pos.append(i)
-                key.append(key_of(plain))
-                texts.append(plain)
-                each = set(words)
-                lengths.append(len(each))
-                hashes.extend(map(h, each, repeat(0)))
-        if not doc:
-            continue
-        fp = bit_majority(np.array(hashes, dtype=np.uint64), np.array(lengths))
-        at = pa.array(doc, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(pos, pa.int32()), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())],
-            ["doc_id", "row", "pos", "key", "fp", "line"],
-        )
-
-
-def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, row, pos, key, fp, line` of every line that is not blank, in normal form: A-Z lowered, white space collapsed.
-
-    The SimHash fp takes each different word once, so that one repeated mark does not make a line's fingerprint.
+# --- lines and their blocks --------------------------------------------------------------------
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs_at(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class Lines:
+    """The lines of some texts that are not blank, in normal form: A-Z lowered, blanks between words one space, none at the ends."""
+
+    def __init__(self, column: pa.Array):
+        raw, offsets = flat(column)
+        data = np.frombuffer(raw.tobytes().lower(), dtype=np.uint8).copy()
+        blank = _BLANK[data]
+        start, end = runs(~blank, offsets, 1)  # of words
+        ends = np.flatnonzero(data == 10)
+        text = owners(start, offsets)
+        row = np.searchsorted(ends, start)
+        new = np.ones(len(start) + 1, dtype=bool)
+        new[1:-1] = (np.diff(row) != 0) | (np.diff(text) != 0)
+        first = np.flatnonzero(new[:-1])
+        self.n_words = np.diff(np.append(first, len(start)))
+        self.text = text[first]
+        self.pos = row[first] - np.searchsorted(ends, offsets[self.text])
+        inner = end[~new[1:]]
+        keep = ~blank
+        keep[inner] = True
+        data[inner] = 32
+        self.data = data[keep]
+        self.word_size = end - start
+        size = np.add.reduceat(self.word_size, first) + self.n_words - 1 if len(first) else np.zeros(0, np.int64)
+        self.offsets = np.concatenate(([0], np.cumsum(size)))
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, some: np.ndarray) -> Lines:
+        """The lines at rising places."""
+        out = Lines.__new__(Lines)
+        size, first = np.diff(self.offsets)[some], np.cumsum(self.n_words) - self.n_words
+        out.text, out.pos, out.n_words = self.text[some], self.pos[some], self.n_words[some]
+        out.word_size = self.word_size[_runs_at(first[some], out.n_words)]
+        out.data = self.data[_runs_at(self.offsets[some], size)]
+        out.offsets = np.concatenate(([0], np.cumsum(size)))
+        return out
+
+    def each(self) -> Iterator[bytes]:
+        held = self.data.tobytes()
+        at = self.offsets.tolist()
+        return (held[a:b] for a, b in zip(at, at[1:], strict=False))
+
+    def strings(self) -> pa.Array:
+        data = pa.py_buffer(self.data.tobytes())
+        return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(self.offsets.astype(np.int64).tobytes()), data)
+
+
+def line_keys(lines: Lines, taken: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each line, and 64 more bits that show whether two lines share a key.
+
+    taken[r] holds the keys of round r that different lines share; such lines get their key from round r + 1.
     """
-    ship(docs.sparkSession)
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text")
-    ).mapInArrow(_split, "doc_id long, row long, pos int, key long, fp long, line string")
+    from xxhash import xxh3_128_intdigest as h
+
+    low = (1 << 64) - 1
+    texts = list(lines.each()) if len(taken) else lines.each()
+    both = [h(t) for t in texts]
+    key = np.array([x & low for x in both], dtype=np.uint64)
+    check = np.array([x >> 64 for x in both], dtype=np.uint64)
+    for r, some in enumerate(taken):
+        again = np.flatnonzero(np.isin(key, some.view(np.uint64)))
+        key[again] = np.array([h(texts[i], seed=r + 1) & low for i in again.tolist()], dtype=np.uint64)
+    return key, check
+
+
+def _word_hashes(lines: Lines) -> np.ndarray:
+    """A hash of each word: a polynomial in its bytes, modulo 2^64; words over 64 kB are hashed one by one."""
+    size = lines.word_size
+    gap = np.ones(len(size), dtype=np.int64)  # the space after a word; a line's last word has none
+    gap[np.cumsum(lines.n_words) - 1] = 0
+    end = np.cumsum(size + gap) - gap
+    start = end - size
+    power = np.cumprod(np.full(1 << 16, _ODD, dtype=np.uint64))
+    out = np.empty(len(size), dtype=np.uint64)
+    total = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
+        if to == at + 1 and size[at] > 1 << 16:
+            from xxhash import xxh64_intdigest
+
+            out[at] = xxh64_intdigest(lines.data[start[at] : end[at]].tobytes())
+        else:
+            own = size[at:to]
+            begin = np.cumsum(own) - own
+            within = np.arange(int(own.sum())) - np.repeat(begin, own)
+            byte = lines.data[within + np.repeat(start[at:to], own)].astype(np.uint64)
+            out[at:to] = np.add.reduceat((byte + np.uint64(1)) * power[within & 0xFFFF], begin)
+        at = to
+    return _mix(out)
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+def _levels(chars: np.ndarray) -> list[np.ndarray]:
+    """Of lines of so many characters: the logarithms of their numbers of blocks, -1 where a line has no more.
 
+    Lines whose lengths differ by a fifth have one in common: near a bound between two, a line is cut both ways.
+    """
+    n = np.where(chars <= STEEP, chars / CHARS, STEEP / CHARS * (np.maximum(chars, 1) / STEEP) ** GROWTH)
+    at = np.log2(np.maximum(n, 1))
+    low, high = (np.floor(at + shift).astype(np.int64) for shift in (0.84, 1.16))
+    return [low, np.where(high != low, high, -1), np.where(chars < BRIEF, low + 1, -1)]
 
-def _cut_mask(mask: int, parts: int) -> list[int]:
-    """The set bits of a mask, low ones first, dealt into `parts` masks of about as many bits each."""
-    at = [i for i in range(64) if mask >> i & 1]
-    edges = [len(at) * i // parts for i in range(parts + 1)]
-    return [sum(1 << i for i in at[low:high]) for low, high in zip(edges, edges[1:], strict=False)]
 
+def _pairs(lines: Lines, word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """By ranges of lines: the first and the end, and for each pair of neighbouring words in them the line, counted from the first, and a hash of _HASH_BITS.
 
-def _keys(masks: list[int]):
-    """A hash of each mask and the bits under it. A collision only adds a candidate, which the bit count decides."""
-    return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
+    The ends of a line count as words. Pairs come by line and hash.
+    """
+    n = lines.n_words
+    pairs, words = np.cumsum(n + 1), np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, min(int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + (1 << 19), side="right")), at + (1 << 21)))
+        own = n[at:to]
+        hashes = word[words[at] - n[at] : words[to - 1]]
+        line = np.repeat(np.arange(to - at), own + 1)
+        left, right = np.full(len(line), 1, dtype=np.uint64), np.full(len(line), 2, dtype=np.uint64)
+        begin = np.cumsum(own + 1) - (own + 1)
+        inner = np.ones(len(line), dtype=bool)
+        inner[begin] = False
+        left[inner] = hashes
+        inner[:] = True
+        inner[begin + own] = False
+        right[inner] = hashes
+        cell = np.sort((line.astype(np.uint64) << np.uint64(_HASH_BITS)) | (_mix(left * _ODD + right) >> np.uint64(64 - _HASH_BITS)))
+        yield at, to, (cell >> np.uint64(_HASH_BITS)).astype(np.int64), cell & np.uint64((1 << _HASH_BITS) - 1)
+        at = to
+
+
+def block_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of the SimHash blocks of each line.
+
+    Each pair of neighbouring words votes in one block, which its hash chooses; the ends of the
+    line count as words. A changed word changes at most four blocks, so lines that differ in
+    few words agree in a block. The key is of the block's number and the majority of its votes.
+    """
+    levels = _levels(np.diff(lines.offsets))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at, to, line, pair in _pairs(lines, _word_hashes(lines)):
+        vote = _mix(pair)
+        for level in levels:
+            deep = level[at:to][line]
+            some = slice(None) if deep.min() >= 0 else deep >= 0
+            who, deep = line[some], deep[some].astype(np.uint64)
+            if not len(who):
+                continue
+            block = pair[some] >> (np.uint64(_HASH_BITS) - deep)
+            cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (who[1:] != who[:-1]))))
+            simhash = bit_majority(vote[some], np.diff(np.append(cut, len(block))))
+            found.append((who[cut] + at, _mix(simhash ^ _mix(block[cut] + (deep[cut] << np.uint64(48))))))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _chars(lines: Lines) -> np.ndarray:
+    """The characters of each line."""
+    return np.add.reduceat((lines.data & 0xC0) != 0x80, lines.offsets[:-1], dtype=np.int64)
+
+
+def fingerprints(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHashes of each line's words, and of its pairs of words."""
+    word = _word_hashes(lines)
+    pairs = [bit_majority(_mix(pair), lines.n_words[at:to] + 1) for at, to, _, pair in _pairs(lines, word)]
+    return bit_majority(word, lines.n_words), np.concatenate([np.zeros(0, np.uint64), *pairs])
+
+
+# --- Arrow passes over the documents -----------------------------------------------------------
+
+
+def _places(taken: list[np.ndarray], keys=line_keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            lines = Lines(batch.column("text"))
+            if len(lines):
+                key, check = keys(lines, taken)
+                at = pa.array(lines.text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(lines.pos, pa.int32()), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))],
+                    ["doc_id", "row", "pos", "key", "check"],
+                )
+
+    return run
+
+
+class _Unseen:
+    """Which lines of a task come for the first time; past so many, some come again."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.keys = most, set()
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.keys) > self.most:
+            self.keys.clear()
+        new = np.zeros(len(keys), dtype=bool)
+        add = self.keys.add
+        for i, k in enumerate(keys.tolist()):
+            if k not in self.keys:
+                add(k)
+                new[i] = True
+        return new
+
+
+def _blocks_of(taken: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = _Unseen()
+        for batch in blocks(batches, "text"):
+            lines = Lines(batch.column("text"))
+            if len(lines):
+                key, _ = line_keys(lines, taken)
+                who, block = block_keys(lines)
+                new = unseen(key)[who]
+                for cut in range(0, len(who), 1 << 18):
+                    some = slice(cut, cut + (1 << 18))
+                    k, b = key[who[some]][new[some]], block[some][new[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(k.view(np.int64))], ["block", "key"])
+
+    return run
+
+
+def _texts_of(taken: list[np.ndarray], wanted: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = _Unseen()
+        for batch in blocks(batches, "text"):
+            lines = Lines(batch.column("text"))
+            if not len(lines):
+                continue
+            key, _ = line_keys(lines, taken)
+            signed = key.view(np.int64)
+            if wanted is None:
+                new = unseen(signed)
+            else:
+                at = np.minimum(np.searchsorted(wanted.value, signed), max(0, len(wanted.value) - 1))
+                new = wanted.value[at] == signed
+                new[new] = unseen(signed[new])
+            if new.any():
+                some = lines.take(np.flatnonzero(new))
+                words, pairs = fingerprints(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed[new]), pa.array(words.view(np.int64)), pa.array(pairs.view(np.int64)), pa.array(some.n_words.astype(np.int32)), pa.array(_chars(some).astype(np.int32)), some.strings().cast(pa.string())],
+                    ["key", "fp", "pairs", "words", "size", "line"],
+                )
+
+    return run
+
+
+class _Source:
+    """The documents, and the Arrow passes over them that agree on line keys."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        ship(docs.sparkSession)
+        self.spark = docs.sparkSession
+        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+        self.taken: list[np.ndarray] = []
+        self.keys = line_keys
+
+    def places(self) -> tuple[DataFrame, DataFrame]:
+        """All lines, and of each different one `key, first, n`. Keys that different lines share, which 128 bits show, are replaced until there are none."""
+        while True:
+            lines = stored(self.rows.mapInArrow(_places(self.taken, self.keys), "doc_id long, row long, pos int, key long, check long"), "lines")
+            each = stored(
+                lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("check").alias("low"), F.max("check").alias("high")), "line-keys"
+            )
+            clash = [r[0] for r in each.where("low != high").select("key").collect()]  # some hundreds for 10^11 lines
+            if not clash:
+                return lines, each
+            release(lines, each)
+            self.taken = [*self.taken, np.sort(np.array(clash, dtype=np.int64))]
+
+    def blocks(self) -> DataFrame:
+        return self.rows.select("text").mapInArrow(_blocks_of(self.taken), "block long, key long")
+
+    def texts(self, keys: DataFrame) -> DataFrame:
+        """`key, fp, pairs, words, size, line` of the keys in a stored table; size is in characters."""
+        schema = "key long, fp long, pairs long, words int, size int, line string"
+        rows = self.rows.select("text")
+        if keys.count() <= BROADCAST_KEYS:
+            held = self.spark.sparkContext.broadcast(np.sort(np.array(keys.toPandas()["key"], dtype=np.int64)))
+            found = rows.mapInArrow(_texts_of(self.taken, held), schema)
+        else:
+            found = rows.mapInArrow(_texts_of(self.taken, None), schema).join(keys.hint("merge"), "key", "left_semi")
+        return found.dropDuplicates(["key"])
 
 
-def near_prints(distinct: DataFrame, bits: int = 3, parts: int = BLOCKS, hot: int = HOT_KEY) -> DataFrame:
-    """Pairs `a, b` of different fingerprints in column `fp` that differ in at most `bits` bits.
-
-    With five blocks and three bits, two blocks agree at least: the ten pairs of blocks are the keys.
-    Rows under a key that over `hot` fingerprints share are given finer keys instead: the bits outside
-    the key are cut into twice `bits` blocks, of which half agree at least, and each such half joins
-    the key. A pair that meets under the key meets under a finer one, so none is lost.
-    """
-    blocks_ = _cut_mask((1 << 64) - 1, parts)
-    chosen = list(combinations(range(parts), parts - bits))
-    masks = [sum(blocks_[i] for i in c) for c in chosen]
-    keyed = distinct.select("fp", F.explode(_keys(masks)).alias("key"))
-    # a key can be hot only if each of its blocks is; a block of 13 bits has 8,192 values, so these counts are few at any size
-    block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(blocks_)]))
-    hot_blocks = stored(distinct.select(block.alias("x")).groupBy("x.i", "x.v").count().where(F.col("count") > hot).select("i", "v"), "hot-blocks")
-    if hot_blocks.limit(1).count():
-        numbered = distinct.select("fp", F.posexplode(_keys(masks)).alias("k", "key"))
-        maybe = numbered
-        for j in range(parts - bits):
-            which = F.get(F.array(*[F.lit(c[j]) for c in chosen]), F.col("k"))
-            under = F.get(F.array(*[F.lit(_signed(blocks_[c[j]])) for c in chosen]), F.col("k"))
-            maybe = maybe.withColumn("i", which).withColumn("v", F.col("fp").bitwiseAND(under)).join(F.broadcast(hot_blocks), ["i", "v"], "left_semi").drop("i", "v")
-        crowded = stored(maybe.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
-        if crowded.limit(1).count():
-            finer = [[m | sum(some) for some in combinations(_cut_mask(((1 << 64) - 1) ^ m, 2 * bits), bits)] for m in masks]
-            each = F.get(F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in finer]), F.col("k"))
-            dense = numbered.join(crowded, "key", "left_semi").select("fp", F.explode(F.transform(each, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
-            keyed = keyed.join(crowded, "key", "left_anti").select("fp", "key").union(dense)
-    left, right = keyed.alias("l"), keyed.alias("r")
-    lf, rf = F.col("l.fp"), F.col("r.fp")
-    return (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (lf < rf) & (F.bit_count(lf.bitwiseXOR(rf)) <= bits))
-        .select(lf.alias("a"), rf.alias("b"))
-        .distinct()
-    )
+# --- links -------------------------------------------------------------------------------------
 
 
 def _letters(texts: list[bytes]) -> np.ndarray:
@@ -210,118 +467,84 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _tested(pairs: DataFrame, lines: DataFrame, what: str) -> DataFrame:
-    """`a, b, ok` for pairs of line keys. Only the texts of lines in a pair are moved."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), what + "-keys")
-    few = wanted.count() <= BROADCAST_KEYS
-    texts = stored(lines.select("key", "line").join(F.broadcast(wanted) if few else wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"]), what + "-texts")
-    full = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    out = stored(full.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean"), what)
-    release(wanted, texts)
-    return out
+def _near(x: str, y: str):
+    """What two rows of `texts` must have for their texts to be compared: numbers of characters that similarity allows, and near SimHashes if neither is short."""
+    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    bits, order = (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("fp", "pairs"))
+    return (least >= SIMILARITY * most) & ((F.least(f"{x}.words", f"{y}.words") < SHORT) | ((bits <= FAR_BITS) & (order <= FAR_PAIRS)))
 
 
-_RNG = np.random.default_rng(10)
-_MUL, _ADD = (_RNG.integers(0, 1 << 64, ROWS * BANDS + GRAM_ROWS * GRAM_BANDS, dtype=np.uint64) for _ in range(2))
-_MUL |= np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+def _tested(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
+    """`a, b, ok` for pairs of line keys."""
+    text = texts.select("key", "line")
+    full = pairs.join(text.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
+    return stored(full.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean"), what)
 
 
-def _minima(hashes: list[int], lengths: list[int], rows: int, bands: int, first: int) -> np.ndarray:
-    """A row of band keys for each set of hashes."""
-    x = np.array(hashes, dtype=np.uint64)
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    out = np.empty((len(lengths), bands), dtype=np.uint64)
-    for band in range(bands):
-        key = np.full(len(lengths), first + band, dtype=np.uint64)
-        for i in range(first + band * rows, first + (band + 1) * rows):
-            key = (key ^ (key >> np.uint64(29))) * _MIX + np.minimum.reduceat(x * _MUL[i] + _ADD[i], begin)
-        out[:, band] = key
-    return out
+def _star(members: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """`a, b` once for each different pair of a line and the one that stands for its block, if they may be similar and are not tested yet."""
+    print_ = texts.select("key", F.struct("fp", "pairs", "words", "size").alias("p"))
+    pairs = members.where("key != rep").select(F.least("rep", "key").alias("a"), F.greatest("rep", "key").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    full = pairs.join(print_.select(F.col("key").alias("a"), F.col("p").alias("x")), "a").join(print_.select(F.col("key").alias("b"), F.col("p").alias("y")), "b")
+    return full.where(_near("x", "y")).select("a", "b")
+
 
+def line_groups(source: _Source) -> DataFrame:
+    """`node, root` of line keys: the connected components of all pairs that share a block, may be similar by _near() and have edit similarity SIMILARITY or more.
 
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the line, band key) of lines in normal form; two lines are candidates if they share a key."""
-    from xxhash import xxh64_intdigest as h
-
-    hashes, lengths, grams, sizes, short, tiny, tiny_keys = [], [], [], [], [], [], []
-    for i, line in enumerate(lines):
-        words = set(line.split())
-        lengths.append(len(words))
-        hashes.extend(map(h, words))
-        if len(words) < SHORT:
-            each = {line[k : k + GRAM] for k in range(max(1, len(line) - GRAM + 1))}
-            short.append(i)
-            sizes.append(len(each))
-            grams.extend(map(h, each))
-        if len(line) < TINY:
-            each = {line} | {line[:k] + line[k + 1 :] for k in range(len(line))}
-            tiny.extend(repeat(i, len(each)))
-            tiny_keys.extend(h(x, 1) for x in each)
-    at = [np.repeat(np.arange(len(lines)), BANDS)]
-    keys = [_minima(hashes, lengths, ROWS, BANDS, 0).reshape(-1)]
-    if short:
-        at.append(np.repeat(np.array(short), GRAM_BANDS))
-        keys.append(_minima(grams, sizes, GRAM_ROWS, GRAM_BANDS, ROWS * BANDS).reshape(-1))
-    if tiny:
-        at.append(np.array(tiny))
-        keys.append(np.array(tiny_keys, dtype=np.uint64))
-    return np.concatenate(at), np.concatenate(keys)
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in blocks(batches, "line", 1 << 20):
-        texts, keys = [], []
-        for key, line in zip(batch.column("key").to_pylist(), batch.column("line"), strict=True):
-            if key not in seen:  # a line that is in the task many times comes once or, past so many lines, a few times
-                seen.add(key)
-                keys.append(key)
-                texts.append(line.as_py())
-        if len(seen) > 1 << 19:
-            seen.clear()
-        if texts:
-            at, band = band_keys(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[at])], ["band", "key"])
-
-
-def _candidates(pairs: DataFrame) -> DataFrame:
-    """`a, b` of pairs `x, y` of structs key, fp, words; a < b, each once, without long lines of far fingerprints."""
-    far = F.least("x.words", "y.words") >= SHORT
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= FAR_BITS
-    return pairs.where("x.key != y.key").where(~far | near).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
-def line_links(lines: DataFrame) -> DataFrame:
-    """Edges `a, b` between line keys whose components are those of all pairs that share a band and have edit similarity SIMILARITY or more.
-
-    Lines of one band key are first tested against the one with the least key. Only lines that
-    fail are paired with all others of the band key, so a large group of alike lines costs a test a
-    line, and yet no link in it is lost.
+    Lines of one block are first tested against the one with the least key. Where a block's lines
+    bear several labels after that, those still alone are tested against the least of them, round by
+    round, while a round at least halves the pairs of different labels; what is left is tested pair by pair.
     """
-    ship(lines.sparkSession)
-    own = Window.partitionBy("band")
-    banded = lines.select("key", "line").mapInArrow(_banded, "band long, key long").select("band", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
-    shared = stored(banded.where("rep < last").select("band", "key", "rep").distinct(), "shared")
-    wanted = shared.select("key").distinct()
-    words = F.size(F.array_distinct(F.split("line", " ")))
-    print_of = stored(lines.select("key", "fp", words.alias("words")).join(wanted, "key", "left_semi").distinct(), "prints")
-    line = F.struct("key", "fp", "words")
-    rep = print_of.select(F.col("key").alias("rep"), line.alias("x"))
-    star = shared.where("key != rep").select("rep", "key").distinct().join(print_of.select("key", line.alias("y")), "key").join(rep, "rep")
-    first = _tested(stored(_candidates(star), "star"), lines, "first")
-    found = first.where("ok").select("a", "b")
-    # the least key is a: pairs that the test failed or the bits ruled out
-    linked = found.select(F.col("a").alias("rep"), F.col("b").alias("key"))
-    crowd = shared.groupBy("band").count().where("count > 2").select("band")
-    alone = stored(shared.where("key != rep").join(crowd, "band", "left_semi").join(linked, ["rep", "key"], "left_anti"), "alone")
-    if alone.limit(1).count():
-        left = alone.join(print_of.select("key", line.alias("x")), "key").select("band", "x")
-        right = shared.where("key != rep").join(alone.select("band").distinct(), "band", "left_semi").join(print_of.select("key", line.alias("y")), "key").select("band", "y")
-        pairs = stored(_candidates(left.join(right, "band")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        found = found.union(_tested(pairs, lines, "more").where("ok").select("a", "b"))
-    release(shared, print_of, alone)
-    return found
+    own = Window.partitionBy("block")
+    spread = source.blocks().select("block", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
+    shared = stored(spread.where("rep < last").select("block", "key", "rep").dropDuplicates(["block", "key"]), "shared")
+    keys = stored(shared.select("key").distinct(), "wanted")
+    texts = stored(source.texts(keys), "texts")
+    tested = _tested(stored(_star(shared, texts, None), "star"), texts, "tested")
+    roots = stored(components(tested.where("ok")), "roots")
+    members = stored(shared.join(shared.groupBy("block").count().where("count > 2").select("block"), "block").select("block", "key"), "members")
+    release(keys, shared)
+    before = None
+    while True:
+        named = stored(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("label")), "named")
+        each = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"))
+        mixed = each.groupBy("block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("label", F.struct("c", "label")).alias("major")).where("n * n > same")
+        mixed = stored(mixed, "mixed")
+        rows, left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)) / 2).first()
+        if not left:
+            break
+        last = left <= PAIRS_A_LINE * rows or (before is not None and 2 * left > before)
+        if last:
+            pairs = _mixed_pairs(named, mixed, texts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        else:
+            loose = named.where("label = key").join(mixed.select("block"), "block", "left_semi")
+            pairs = _star(loose.select("block", "key", F.min("key").over(own).alias("rep")), texts, tested)
+        more = _tested(stored(pairs, "pairs"), texts, "more")
+        found = more.where("ok").limit(1).count() > 0
+        tested = stored(tested.union(more), "tested")
+        if found:
+            roots = stored(components(tested.where("ok")), "roots")
+        if last:
+            break
+        before = left
+    release(texts, members)
+    return roots
+
+
+def _mixed_pairs(named: DataFrame, mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """`a, b` once for each pair of lines that share a block, bear different labels and may be similar. Blocks are dealt out in parts of bounded size."""
+    row = named.join(mixed.select("block", "n", "major"), "block").join(texts.select("key", "fp", "pairs", "words", "size"), "key")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    left = row.where("label != major").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).alias("x")
+    right = row.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
+    return left.join(right, on).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+# --- what stays --------------------------------------------------------------------------------
 
 
 def surplus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,15 +552,16 @@ def surplus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of each group of linked lines the occurrence with the least (doc_id, row, position) stays; null ids come first.
     """
-    lines = stored(split_lines(docs, id_col, text_col), "split")
-    roots = components(line_links(lines)).withColumnsRenamed({"node": "key"})
-    each = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    source = _Source(docs, id_col, text_col)
+    lines, each = source.places()
+    roots = line_groups(source).withColumnRenamed("node", "key")
     named = stored(each.join(roots, "key", "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "repeated")
+    release(each)
     stays = stored(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
     plan = stored(named.join(stays, "root").select("key", F.col("stays.row").alias("keep_row"), F.col("stays.pos").alias("keep_pos")), "plan")
     gone = lines.select("key", "row", "pos").join(plan, "key").where("row != keep_row or pos != keep_pos")
     out = stored(gone.groupBy("row").agg(F.collect_set("pos").alias("gone")), "gone")
-    release(lines, named, plan)
+    release(lines, named, stays, plan)
     return out
 
 

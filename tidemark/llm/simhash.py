@@ -20,31 +20,65 @@ WIDTH = 3
 PIECE = 4 << 20
 #: A half that more distinct fingerprints share is handled by listing the neighbours of each instead of by a join.
 HOT_HALF = 2000
+#: Runs of up to so many hashes are counted in bit planes, longer ones in lanes of bytes.
+FEW = 63
 
 #: The value of a byte's bits in eight lanes of eight bits.
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def _few_majority(hashes: np.ndarray, first: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """bit_majority() of short runs: counters whose bits lie in planes of one word a run, added to with carries."""
+    order = np.argsort(-runs, kind="stable")
+    first, runs = first[order], runs[order]
+    longest = int(runs[0])
+    planes = np.zeros((longest.bit_length(), len(runs)), dtype=np.uint64)
+    active = np.searchsorted(-runs, -np.arange(1, longest + 1), side="right")  # runs with more than i hashes
+    for i, n in enumerate(active.tolist()):
+        carry = hashes[first[:n] + i]
+        for p in range((i + 1).bit_length()):
+            own = planes[p, :n]
+            own_before = own & carry
+            own ^= carry
+            carry = own_before
+    least = (runs // 2 + 1).astype(np.uint64)  # count >= least, from the highest plane down
+    above, equal = np.zeros(len(runs), dtype=np.uint64), np.full(len(runs), ~np.uint64(0))
+    for p in range(len(planes) - 1, -1, -1):
+        asked = np.uint64(0) - ((least >> np.uint64(p)) & np.uint64(1))
+        above |= equal & planes[p] & ~asked
+        equal &= ~(planes[p] ^ asked)
+    out = np.empty(len(runs), dtype=np.uint64)
+    out[order] = above | equal
+    return out
+
+
 def bit_majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For consecutive runs of 64-bit hashes: the bits set in over half of a run's hashes. An empty run gives 0."""
+    lengths = lengths.astype(np.int64)
     out = np.zeros(len(lengths), dtype=np.uint64)
-    full = np.flatnonzero(lengths)
+    begin = np.cumsum(lengths) - lengths
+    few = np.flatnonzero((lengths > 0) & (lengths <= FEW))
+    if len(few):
+        out[few] = _few_majority(hashes, begin[few], lengths[few])
+    full = np.flatnonzero(lengths > FEW)
     if not len(full):
         return out
-    runs = lengths[full].astype(np.int64)
+    runs = lengths[full]
     parts = -(-runs // 255)  # lanes of eight bits hold 255 hashes
-    first = np.concatenate(([0], np.cumsum(parts)[:-1]))
-    starts = np.repeat(np.concatenate(([0], np.cumsum(runs)[:-1])), parts)
-    starts += 255 * (np.arange(len(starts)) - np.repeat(first, parts))
+    first = np.cumsum(parts) - parts
+    nth = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    starts = np.repeat(begin[full], parts) + 255 * nth
+    sizes = np.minimum(255, np.repeat(runs, parts) - 255 * nth)
     counts = np.empty((len(starts), 64), dtype=np.uint8)
-    bounds = np.append(starts, len(hashes))
+    held = np.concatenate(([0], np.cumsum(sizes)))
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17))) - 1)
-        own = hashes[bounds[at] : bounds[to]].astype("<u8")
-        lanes = _LANES[own.view(np.uint8)].reshape(-1, 8)
-        counts[at:to] = np.add.reduceat(lanes, starts[at:to] - bounds[at], axis=0).astype("<u8").view(np.uint8).reshape(-1, 64)
+        to = max(at + 1, int(np.searchsorted(held, held[at] + (1 << 17))) - 1)
+        within = held[at : to + 1] - held[at]
+        where = np.arange(within[-1]) + np.repeat(starts[at:to] - within[:-1], sizes[at:to])
+        lanes = _LANES[hashes[where].astype("<u8").view(np.uint8)].reshape(-1, 8)
+        counts[at:to] = np.add.reduceat(lanes, within[:-1], axis=0).astype("<u8").view(np.uint8).reshape(-1, 64)
         at = to
     total = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
     bits = np.packbits(2 * total > runs[:, None], axis=1, bitorder="little")
