@@ -9,8 +9,7 @@ import pyarrow as pa
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in one array and the offsets of each; null texts are empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
-    if column.offset or True:
-        column = pa.concat_arrays([column])
+    column = pa.concat_arrays([column])  # its buffers begin with the first text
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -40,3 +39,18 @@ def table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[np.frombuffer(chars, dtype=np.uint8)] = True
     return out
+
+
+def code_points(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The code points before each byte place of one text."""
+    return np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), places)
+
+
+def outside(spans: np.ndarray, others: list[tuple[int, int]]) -> np.ndarray:
+    """The spans that none of the others overlaps, in one pass over their bounds."""
+    if not len(others):
+        return spans
+    start, end = np.array(sorted(others)).T
+    reach = np.maximum.accumulate(end)
+    before = np.searchsorted(start, spans[:, 1]) - 1  # the last that begins before a span's end
+    return spans[(before < 0) | (reach[np.maximum(before, 0)] <= spans[:, 0])]

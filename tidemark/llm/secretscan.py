@@ -7,13 +7,14 @@ import random
 import re
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import flat, owners, runs, table
+from tidemark.llm._bytes import code_points, flat, outside, owners, runs, table
 from tidemark.llm._shared import blocks, ship
 
 KINDS = ("assign", "access", "hex", "random")
@@ -22,128 +23,127 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_BYTES = table(b"0123456789abcdef")
 
-#: Characters of the models; a run of these with LEAST or more characters is a candidate.
+#: Characters of the models; a run of these with LEAST or more characters is looked at.
 ALPHABET = string.ascii_letters + string.digits + "+/=_-"
-LEAST = 20
+LEAST = 12
 _CODE = np.full(256, -1, dtype=np.int16)
 _CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
 _TOKEN_BYTES = _CODE >= 0
 SEPARATORS = frozenset(b"/=_-")
 
-#: Labelled samples: so many of either kind, and so many documents and words of each for the corpus's own words.
-SAMPLES = 4000
-SAMPLE_DOCS = 200
-SAMPLE_WORDS = 40
+#: So many labelled samples of either kind train the models, and so many set the threshold; these are made of parts that the others do not have.
+SAMPLES, HELD = 12000, 6000
+#: Of held-back ordinary strings, this share scores under the threshold.
+QUIET = 0.995
 
-#: Common parts of identifiers, a fixed list.
+#: Common parts of identifiers and of words in four languages, a fixed list.
 PARTS = (
-    "account action address array async backup batch block buffer build byte cache call channel check child class client cluster code column command config "
-    "connection content context control count create current data database date default delete demo device document domain driver element email enable entry error "
-    "event example factory feature field file filter first format frame function global group handler header host image index input instance integer item job key label "
-    "language last layer length level library limit line link list load local lock login manager map master max memory message method min mode model module name network "
-    "node number object offset option order output owner package page param parent parse partition path pattern payload plugin point policy pool port prefix print process "
-    "profile project property protocol proxy query queue random range read record refresh region register remote render report request reset resource response result "
-    "return role root route row rule sample schema scope screen script search section select sender sequence server service session set shape size source stack start "
-    "state static status step storage stream string style submit suffix switch symbol system table tag target task template test text thread time title token total "
-    "trace track transaction transform type update upload url user utility value variable vector version view visible volume wait widget width window worker write zone"
+    "account action address async backup batch block buffer cache call channel check child class client cluster code column command config content context control count "
+    "create current data date default delete device document driver element email error event example factory field file filter format frame function group handler header "
+    "host image index input instance item label language layer length level library limit list local login manager message method model module name network node number "
+    "object option order output owner package page parent partition path payload point policy prefix process profile project property query queue range record region "
+    "remote request resource response result return route sample schema screen search section sender server service session source status storage stream string system "
+    "arbeit berechtigung entwicklung fahrt geschwindigkeit gesellschaft haltung heit keit lich schaft sicherung stellung ung verwaltung wirtschaft zeichnung zug "
+    "ation ement eusement gouvernement heureux lement mente naturellement ordinateur question reconnaissance tion travail ville vraiment "
+    "ado aciones ciudad cion conocimiento desarrollo gobierno idades mente miento palabra siguiente trabajo verdadero"
 ).split()
 
 
-def labelled_samples(n: int = SAMPLES, seed: int = 5) -> list[tuple[str, int]]:
-    """Strings with label 1 (random: hex, base 64, base 62, base 32) and 0 (identifiers, paths, words with numbers)."""
+def labelled_samples(n: int, seed: int, known: list[str]) -> list[tuple[str, int]]:
+    """Strings with label 1 (random: hex, base 64, base 62, base 32 and their kin) and 0 (identifiers, paths, long words of the known parts, plain numbers)."""
     rng = random.Random(seed)
     out = []
-    sets = ["0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "_-"]
+    low, up, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    sets = [digit + "abcdef", digit + "ABCDEF", low + up + digit + "+/", low + up + digit, up + "234567", low + digit, low + up + digit + "_-"]
     for i in range(n):
         out.append(("".join(rng.choices(sets[i % len(sets)], k=rng.randint(LEAST, 48))), 1))
         parts: list[str] = []
-        while sum(map(len, parts)) < LEAST:
-            parts += rng.choices(PARTS, k=rng.randint(1, 2))
-            if rng.random() < 0.15:
+        while sum(map(len, parts)) < LEAST or rng.random() < 0.4:
+            parts += rng.choices(known, k=rng.randint(1, 2))
+            if rng.random() < 0.1:
                 parts.append(str(rng.randint(0, 2030)))
-        style = i % 6
-        if style == 0:
-            s = "_".join(parts)
-        elif style == 1:
-            s = parts[0] + "".join(p.capitalize() for p in parts[1:])
-        elif style == 2:
-            s = "".join(p.capitalize() for p in parts)
-        elif style == 3:
-            s = "-".join(parts)
-        elif style == 4:
-            s = "_".join(parts).upper()
+        if i % 12 == 0:
+            s = "".join(rng.choices(digit, k=rng.randint(LEAST, 24)))
+        elif i % 12 == 1:
+            s = parts[0] + "".join(x.capitalize() for x in parts[1:])
         else:
-            s = "/".join(parts)
-        out.append((s, 0))
+            case = rng.choice([str, str, str.upper, str.title, str.capitalize])
+            s = rng.choice(["_", "-", "/", ""]).join(parts * (rng.randint(2, 4) if i % 12 == 2 else 1))
+            s = case(s) if case is not str.title else re.sub("[a-z]+", lambda m: m[0].capitalize(), s)
+        out.append((s if len(s) >= LEAST else s * 4, 0))
     return out
 
 
 class Markov:
-    """First-order models of random and ordinary strings; score() is the log-likelihood ratio per character."""
+    """First-order models of random and of ordinary strings. A stretch is as random as the sum of its characters' log-likelihood ratios says."""
 
-    def __init__(self, samples: list[tuple[str, int]], smooth: float = 0.5):
-        fit = [x for i, x in enumerate(samples) if i % 4]
+    def __init__(self, samples: list[tuple[str, int]], held: list[tuple[str, int]], smooth: float = 0.5):
         n = len(ALPHABET)
         counts = np.full((2, n + 1, n), smooth)
-        for s, y in fit:
+        for s, y in samples:
             codes = _CODE[np.frombuffer(s.encode(), dtype=np.uint8)].astype(np.int64)
             np.add.at(counts[y], (np.concatenate(([n], codes[:-1])), codes), 1)
         p = np.log(counts / counts.sum(axis=2, keepdims=True))
         self.ratio = p[1] - p[0]
-        # the threshold stands above every held-back ordinary string
-        ordinary = [self.score_one(s) for i, (s, y) in enumerate(samples) if not i % 4 and y == 0]
-        self.threshold = max(0.15, max(ordinary, default=0.0) + 0.05)
-        # the best stretch of an ordinary string scores above its mean, so stretches have a threshold of their own
-        ordinary = [self.best_stretch(s) for i, (s, y) in enumerate(samples) if not i % 4 and y == 0 and len(s) >= LEAST]
-        self.inner = max(self.threshold, max(ordinary, default=0.0) + 0.05)
-
-    def score_one(self, s: str) -> float:
-        data = np.frombuffer(s.encode(), dtype=np.uint8)
-        return float(self.score(data, np.array([0]), np.array([len(data)]))[0])
-
-    def _steps(self, data: np.ndarray) -> np.ndarray:
+        ordinary = sorted(self.best(s) for s, y in held if y == 0)
+        self.threshold = ordinary[int(QUIET * (len(ordinary) - 1))] if ordinary else np.inf
+
+    def steps(self, data: np.ndarray) -> np.ndarray:
         """The ratio of each character of one run."""
         code = _CODE[data].astype(np.int64)
         return self.ratio[np.concatenate(([len(ALPHABET)], code[:-1])), code]
 
-    @staticmethod
-    def _best_mean(step: np.ndarray) -> float:
-        # a stretch of twice LEAST or more has a part of LEAST or more that scores no less
-        total = np.concatenate(([0.0], np.cumsum(step)))
-        return max((float((total[n:] - total[:-n]).max()) / n for n in range(LEAST, min(2 * LEAST, len(total)))), default=-np.inf)
+    def best(self, s: str) -> float:
+        """The highest sum of a stretch of LEAST or more characters."""
+        total = np.concatenate(([0.0], np.cumsum(self.steps(np.frombuffer(s.encode(), dtype=np.uint8)))))
+        if len(total) <= LEAST:
+            return -np.inf
+        return float((total[LEAST:] - np.minimum.accumulate(total[:-LEAST])).max())
 
-    def best_stretch(self, s: str) -> float:
-        """The highest mean of a stretch of LEAST or more characters."""
-        return self._best_mean(self._steps(np.frombuffer(s.encode(), dtype=np.uint8)))
+    def candidates(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the runs may hold a stretch over the threshold: the sum of all their positive ratios is over it."""
+        code = _CODE[data].astype(np.int64)
+        before = np.concatenate(([len(ALPHABET)], code[:-1]))
+        before[start] = len(ALPHABET)
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, end, -1)
+        at = np.flatnonzero(np.cumsum(inside[:-1]))
+        gain = np.maximum(self.ratio[before[at], code[at]], 0)
+        return np.add.reduceat(gain, np.cumsum(end - start) - (end - start)) > self.threshold
 
     def stretches(self, data: np.ndarray) -> list[tuple[int, int]]:
-        """Disjoint stretches of a run that pass `inner`, each widened to the separators around it."""
-        step, out, todo = self._steps(data), [], [(0, len(data))]
-        while todo:
-            low, high = todo.pop()
-            if high - low < LEAST or self._best_mean(step[low:high]) <= self.inner:
-                continue
-            total = np.concatenate(([0.0], np.cumsum(step[low:high] - self.inner)))
-            least = np.minimum.accumulate(total[:-LEAST])  # the lowest sum at or before each possible start
-            stop = int((total[LEAST:] - least).argmax())
-            begin, end = low + int(total[: stop + 1].argmin()), low + stop + LEAST
-            while begin > low and data[begin - 1] not in SEPARATORS:
-                begin -= 1
-            while end < high and data[end] not in SEPARATORS:
-                end += 1
-            out.append((begin, end))
-            todo += [(low, begin), (end, high)]
-        return sorted(out)
-
-    def score(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = end - start
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        at = np.repeat(start - begin, size) + np.arange(int(size.sum()))
-        code = _CODE[data[at]].astype(np.int64)
-        before = np.empty_like(code)
-        before[1:] = code[:-1]
-        before[begin] = len(ALPHABET)
-        return np.add.reduceat(self.ratio[before, code], begin) / size
+        """Disjoint stretches of one run whose sums pass the threshold, each widened to the separators around it, in one pass.
+
+        A sum starts where it would fall below zero, and ends at its highest point once it has fallen from there by the threshold.
+        """
+        out: list[tuple[int, int]] = []
+        limit = self.threshold
+        total = high = 0.0
+        begin = top = 0
+
+        def close() -> None:
+            if high > limit and top - begin >= LEAST:
+                a, b, free = begin, top, out[-1][1] if out else 0
+                while a > free and data[a - 1] not in SEPARATORS:
+                    a -= 1
+                while b < len(data) and data[b] not in SEPARATORS:
+                    b += 1
+                if a < free or (out and a == free):
+                    out[-1] = (out[-1][0], b)
+                else:
+                    out.append((a, b))
+
+        for i, x in enumerate(self.steps(data).tolist()):
+            total += x
+            if total > high:
+                high, top = total, i + 1
+            elif total <= 0 or high - total > limit:
+                close()
+                total = high = 0.0
+                begin = top = i + 1
+        close()
+        return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -161,42 +161,40 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def _flagged(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts may hold a match of a fixed pattern: those with : or =, AKIA, or 24 hex digits in a row."""
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    out[owners(np.flatnonzero((data == 58) | (data == 61)), offsets)] = True
+    out[owners(runs(_HEX_BYTES[data], offsets, 24)[0], offsets)] = True
+    if len(data) > 3:
+        found = (data[:-3] == 65) & (data[1:-2] == 75) & (data[2:-1] == 73) & (data[3:] == 65)
+        out[owners(np.flatnonzero(found), offsets)] = True
+    return out
+
+
 def _scanner(model: Markov):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            column = batch.column("text")
-            data, offsets = flat(column)
+            data, offsets = flat(batch.column("text"))
             n = batch.num_rows
-            flagged = np.zeros(n, dtype=bool)
-            mark = np.flatnonzero((data == 58) | (data == 61))  # : and =
-            flagged[owners(mark, offsets)] = True
-            start, _ = runs(_HEX_BYTES[data], offsets, 24)
-            flagged[owners(start, offsets)] = True
-            k = data.tobytes()
-            at = k.find(b"AKIA")
-            while at >= 0:
-                flagged[owners(np.array([at]), offsets)] = True
-                at = k.find(b"AKIA", at + 1)
-            start, end = runs(_TOKEN_BYTES[data], offsets, LEAST)
+            flagged = _flagged(data, offsets)
             odd: dict[int, list[tuple[int, int]]] = {}
+            start, end = runs(_TOKEN_BYTES[data], offsets, LEAST)
             if len(start):
-                score = model.score(data, start, end)
-                for s, e in zip(start[score > model.threshold].tolist(), end[score > model.threshold].tolist(), strict=True):
-                    odd.setdefault(int(owners(np.array([s]), offsets)[0]), []).append((s, e))
-                for s, e in zip(start[score <= model.threshold].tolist(), end[score <= model.threshold].tolist(), strict=True):
-                    for a, b in model.stretches(data[s:e]) if e - s > LEAST else ():
-                        odd.setdefault(int(owners(np.array([s]), offsets)[0]), []).append((s + a, s + b))
+                some = np.flatnonzero(model.candidates(data, start, end))
+                for i, s, e in zip(owners(start[some], offsets).tolist(), start[some].tolist(), end[some].tolist(), strict=True):
+                    for a, b in model.stretches(data[s:e]):
+                        odd.setdefault(i, []).append((s + a - int(offsets[i]), s + b - int(offsets[i])))
             flagged[list(odd)] = True
             counts = np.zeros((4, n), dtype=np.int64)
             spans, digest = [""] * n, [hashlib.sha256(b"").hexdigest()] * n
             for i in np.flatnonzero(flagged).tolist():
-                raw = k[offsets[i] : offsets[i + 1]]
-                base = base_spans(raw.decode("utf-8", "replace"))
+                own = data[offsets[i] : offsets[i + 1]]
+                base = base_spans(own.tobytes().decode("utf-8", "replace"))
                 more = []
-                for s, e in odd.get(i, ()):
-                    s, e = (len(raw[: x - offsets[i]].decode("utf-8", "replace")) for x in (s, e))
-                    if not any(b < e and s < f for b, _, f in base):
-                        more.append((s, 3, e))
+                if i in odd:
+                    held = np.array(odd[i])
+                    more = [(int(s), 3, int(e)) for s, e in outside(code_points(own, held), [(s, e) for s, _, e in base])]
                 for _, kind, _ in base + more:
                     counts[kind, i] += 1
                 digest[i] = hashlib.sha256(_join(base).encode()).hexdigest()
@@ -209,33 +207,20 @@ def _scanner(model: Markov):
     return run
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plain = re.compile(rf"[A-Za-z]{{{LEAST // 2},}}")
-    for batch in batches:
-        for x in batch.column("text"):
-            found = sorted({m.group() for m in plain.finditer(x.as_py() or "")}, key=lambda w: hashlib.blake2b(w.encode(), digest_size=8).digest())[:SAMPLE_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
-
-
-def fit(docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Markov:
-    """Models from labelled_samples() and, given documents, letters-only words of SAMPLE_DOCS of them (SAMPLE_WORDS each) as ordinary strings."""
-    samples = labelled_samples()
-    if docs is not None:
-        ship(docs.sparkSession)
-        ids = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
-        some = docs.join(F.broadcast(ids), id_col, "left_semi").select(F.col(text_col).alias("text"))
-        words = sorted({r[0] for r in some.mapInArrow(_words_of, "word string").collect()})
-        for a, b in zip(words, words[1:] + words[:1], strict=False):
-            samples += [(a, 0), (a + b[: max(0, LEAST - len(a))], 0)]
-    return Markov(samples)
+@cache
+def fit() -> Markov:
+    """Models from labelled_samples(), the threshold from others of parts that the models have not seen; seeds are fixed, so each process gets the same."""
+    return Markov(labelled_samples(SAMPLES, 5, [x for i, x in enumerate(PARTS) if i % 4]), labelled_samples(HELD, 6, PARTS[::4]))
 
 
 def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts and digest of the fixed patterns, and all spans.
 
-    spans joins `kind:start:end` in code points by start. Kind `random` is the models' own: a run
-    of LEAST or more token characters whose log-likelihood ratio passes the threshold and
-    that no fixed span overlaps; of a run that does not pass, the stretches of LEAST or more that do. Null texts count as empty; repeated rows give as many rows.
+    spans joins `kind:start:end` in code points by start. Kind `random` is the models' own: a
+    stretch of LEAST or more token characters whose log-likelihood ratio passes the threshold,
+    widened to the separators around it, that no fixed span overlaps. Null texts count as empty;
+    repeated rows give as many rows, an empty table none; other columns are not looked at. Time and memory grow
+    with the length of a text.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
