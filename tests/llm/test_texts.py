@@ -113,11 +113,47 @@ def test_no_dropout_equals_the_library(vocabulary):
 
 
 def test_agenda_equals_lockstep(vocabulary, monkeypatch):
-    texts = ["antidisestablishmentarianism and floccinaucinihilipilification", "x" * 50, "Donaudampfschiff"]
-    monkeypatch.setattr(pieces, "LONG", 0)
-    a = pieces.encode_texts(vocabulary, texts, 3, 0.3)[0]
-    monkeypatch.setattr(pieces, "LONG", 10**9)
-    assert (a == pieces.encode_texts(vocabulary, texts, 3, 0.3)[0]).all()
+    """The two ways to take merges, and cut long chunks, give the same ids."""
+    texts = ["antidisestablishmentarianism and floccinaucinihilipilification", "x" * 50, "Donaudampfschiff", "thequickbrownfoxjumpsoverthelazydogQZ9x" * 20, "日本語テキスト" * 30]
+    results = []
+    for limit in (0, 8, 64, 10**9):
+        monkeypatch.setattr(pieces, "LONG", limit)
+        results.append([pieces.encode_texts(vocabulary, texts, 3, d)[0].tolist() for d in (0.0, 0.1, 0.7)])
+    assert all(r == results[0] for r in results)
+
+
+def naive_merges(vocabulary, text, seed, document, dropout):
+    """Merges one by one over a whole text, the best and then leftmost candidate that its key does not skip; ids before unknown characters become bytes."""
+    out, nth = [], -1
+    for chunk in re.findall(r" +[^ ]*", " " + text):
+        nth += 1
+        key = (pieces._mix(pieces._mix(np.array([document + seed], dtype=np.uint64)) + np.uint64(nth))).item()
+        symbols = [(i, vocabulary.char_id[ord(c)].item()) for i, c in enumerate(chunk)]
+        while True:
+            best = None
+            for k in range(len(symbols) - 1):
+                (i, a), (j, b) = symbols[k : k + 2]
+                r = vocabulary.by_pair.get(a * vocabulary.size + b) if max(a, b) < vocabulary.size else None
+                if r is not None and (best is None or r < best[0]) and not (dropout and pieces._skips(key, i, j, r, dropout * 2.0**53)):
+                    best = r, k
+            if best is None:
+                break
+            r, k = best
+            symbols[k : k + 2] = [(symbols[k][0], vocabulary.at_rank[r].item())]
+        out += [s for _, s in symbols]
+    return pieces._to_bytes(vocabulary, np.array(out, dtype=np.int32)).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abehinorst  éñ日", min_size=1, max_size=90), min_size=1, max_size=4), st.sampled_from([0.0, 0.1, 0.7]), st.sampled_from([4, 64]))
+def test_dropout_equals_brute_force(vocabulary, texts, dropout, limit):
+    held_, pieces.LONG = pieces.LONG, limit
+    try:
+        documents = np.arange(5, 5 + len(texts), dtype=np.uint64)
+        ids, sizes = pieces.encode_texts(vocabulary, texts, 9, dropout, documents)
+    finally:
+        pieces.LONG = held_
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [naive_merges(vocabulary, t, 9, int(d), dropout) for t, d in zip(texts, documents, strict=True)]
 
 
 def test_seeds_vary_and_repeat(vocabulary):
@@ -127,6 +163,31 @@ def test_seeds_vary_and_repeat(vocabulary):
     assert tuple(pieces.encode_texts(vocabulary, text, 4, 0.3)[0].tolist()) in runs
 
 
+def test_places_and_documents_vary(vocabulary):
+    """One word many times in a text, and one text in several documents, have many segmentations."""
+    words = " ".join(["internationalisation"] * 50)
+    whole = pieces.encode_texts(vocabulary, [words, words], 1, 0.3, np.array([7, 8], dtype=np.uint64))
+    a, b = np.split(whole[0], [whole[1][0]])
+    assert a.tolist() != b.tolist()
+    decoded = [vocabulary.piece_bytes[vocabulary.piece_at[i] : vocabulary.piece_at[i] + vocabulary.piece_size[i]].tobytes() for i in a]
+    forms, word = set(), []
+    for piece in [*decoded, b" "]:
+        if piece.startswith(b" ") and word:
+            forms.add(tuple(word))
+            word = []
+        word.append(piece)
+    assert len(forms) > 5
+
+
+def test_a_million_letters_without_a_space(vocabulary):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(string.ascii_lowercase, k=1_000_000)), "".join(rng.choices(string.ascii_letters + string.digits, k=1_000_000))]
+    began = time.perf_counter()
+    ids, sizes = pieces.encode_texts(vocabulary, texts, 1, 0.1)
+    assert pieces.decode_ids(vocabulary, ids, sizes) == [t.encode() for t in texts]
+    assert time.perf_counter() - began < 90
+
+
 def test_pieces_odd_rows(odd, none, same_ids):
     out = pieces.encode(odd)
     same_ids(out)

@@ -1,10 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges of a merge-type (BPE) vocabulary run by the vocabulary's order, leftmost first. Each
-candidate merge is skipped by a keyed hash of the chunk, its place and its result, so that a
-seed gives one segmentation and other seeds give others; all decode to the same text. With no
-dropout the ids equal the library's own. A chunk is a run of spaces and the letters after it;
-no piece of such a vocabulary reaches over a chunk's end, which the vocabulary is tested for.
+candidate merge is skipped by a hash keyed by seed, document, place in the text and result, so
+that every occurrence of a word has a segmentation of its own and a seed gives the same ones again;
+all decode to the same text. With no dropout the ids equal the library's own. A chunk is a run of
+spaces and the letters after it; no piece of such a vocabulary reaches over a chunk's end, which the
+vocabulary is tested for. Chunks of up to LONG characters take their merges off the agenda in
+lockstep, many chunks at a time; longer ones are first cut where no piece holds the two
+characters, and what is still longer is merged from a heap.
 """
 
 from __future__ import annotations
@@ -18,16 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import blocks, ship
+from tidemark.llm._shared import blocks, row_key, ship
 
 DROPOUT = 0.1
 SEED = 7
-#: Documents are dealt over so many dropout seeds by a hash of their text, so that a word is segmented in several ways.
-VARIANTS = 4
-#: Longer chunks are merged by an agenda one by one; shorter ones in lockstep.
+#: Longer chunks are cut, and merged by an agenda one by one if they stay longer; shorter ones in lockstep.
 LONG = 64
 _SPACE = "▁"
-_CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 _NONE = np.int32(2**31 - 1)
 
 
@@ -70,6 +70,15 @@ class Vocabulary:
         self.piece_size = np.array([len(x) for x in data], dtype=np.int64)
         self.piece_at = np.concatenate(([0], np.cumsum(self.piece_size)[:-1]))
         self.piece_bytes = np.frombuffer(b"".join(data), dtype=np.uint8)
+        code = lambda c: 32 if c == _SPACE else ord(c)
+        self.inside = np.unique(np.array([code(a) << 32 | code(b) for p in of for a, b in zip(p, p[1:], strict=False)], dtype=np.uint64))
+        self._by_pair: dict[int, int] | None = None
+
+    @property
+    def by_pair(self) -> dict[int, int]:
+        if self._by_pair is None:
+            self._by_pair = dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+        return self._by_pair
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Order of the merge of each pair, _NONE if there is none."""
@@ -103,12 +112,12 @@ def _ranks(v: Vocabulary, left, right, key, start, split, dropout: float) -> np.
     return rank
 
 
-def _lockstep(v: Vocabulary, sym: np.ndarray, keys: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Merge chunks of one length, given as rows. Returns (row numbers, symbols) by the number of symbols left."""
+def _lockstep(v: Vocabulary, sym: np.ndarray, keys: np.ndarray, offset: np.ndarray, dropout: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Merge chunks of one length, given as rows, that begin at an offset of what their keys count from. Returns (row numbers, symbols) by the number of symbols left."""
     n, width = sym.shape
     row = np.arange(n)
     out = []
-    start = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
+    start = offset[:, None] + np.arange(width)
     rank = np.full((n, width), _NONE, dtype=np.int32)  # of the pair of a symbol and the next one
     if width > 1:
         flat = lambda x: np.ascontiguousarray(x).reshape(-1)
@@ -139,33 +148,43 @@ def _lockstep(v: Vocabulary, sym: np.ndarray, keys: np.ndarray, dropout: float)
     return out
 
 
-def _agenda(v: Vocabulary, symbols: np.ndarray, key: int, dropout: float) -> np.ndarray:
+_M64 = (1 << 64) - 1
+
+
+def _skips(key: int, start: int, split: int, rank: int, limit: float) -> bool:
+    """_skipped() of one candidate, in Python's integers; limit is the dropout times 2^53."""
+    x = key + start * 0x9E3779B97F4A7C15 & _M64
+    for more in (split * 0xD1B54A32D192ED03, rank, 0):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M64
+        x = (x ^ (x >> 31)) + more & _M64
+    return x >> 11 < limit
+
+
+def _agenda(v: Vocabulary, symbols: np.ndarray, key: int, offset: int, dropout: float) -> np.ndarray:
     """The same merges for one chunk of any length, by a heap of candidates."""
-    n = len(symbols)
-    sym, nxt, prev, alive = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def push(pos: list[int]) -> None:
-        pos = [p for p in pos if p >= 0 and nxt[p] < n]
-        if pos:
-            i, j = np.array(pos), np.array([nxt[p] for p in pos])
-            rank = _ranks(v, np.array([sym[p] for p in i]), np.array([sym[p] for p in j]), np.full(len(i), key, dtype=np.uint64), i, j, dropout)
-            for p, q, r in zip(i.tolist(), j.tolist(), rank.tolist(), strict=True):
-                if r != _NONE:
-                    heapq.heappush(heap, (r, p, q, sym[p], sym[q]))
-
-    push(list(range(n)))
+    n, size, limit, by_pair = len(symbols), v.size, dropout * 2.0**53, v.by_pair
+    sym, nxt, prev = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    place = np.arange(offset, offset + n)
+    first = _ranks(v, symbols[:-1], symbols[1:], np.full(n - 1, key, dtype=np.uint64), place[:-1], place[1:], dropout)
+    some = np.flatnonzero(first != _NONE)
+    heap = [(r, p, p + 1, sym[p], sym[p + 1]) for r, p in zip(first[some].tolist(), some.tolist(), strict=True)]
+    heapq.heapify(heap)
     while heap:
         r, p, q, left, right = heapq.heappop(heap)
-        if not (alive[p] and alive[q] and nxt[p] == q and sym[p] == left and sym[q] == right):
+        if sym[p] != left or sym[q] != right or nxt[p] != q:
             continue
         sym[p] = int(v.at_rank[r])
-        alive[q] = False
-        nxt[p] = nxt[q]
-        if nxt[q] < n:
-            prev[nxt[q]] = p
-        push([prev[p], p])
-    return np.array([s for s, a in zip(sym, alive, strict=True) if a], dtype=np.int32)
+        sym[q] = -1
+        nxt[p] = after = nxt[q]
+        if after < n:
+            prev[after] = p
+        for i, j in ((prev[p], p), (p, after)):
+            if i >= 0 and j < n and sym[i] < size and sym[j] < size:
+                r = by_pair.get(sym[i] * size + sym[j])
+                if r is not None and not (limit and _skips(key, offset + i, offset + j, r, limit)):
+                    heapq.heappush(heap, (r, i, j, sym[i], sym[j]))
+    return np.array([s for s in sym if s >= 0], dtype=np.int32)
 
 
 def _to_bytes(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
@@ -175,30 +194,22 @@ def _to_bytes(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return np.concatenate([v.byte_id[np.frombuffer(chr(x - v.size).encode("utf-8", "surrogatepass"), np.uint8)] if x >= v.size else np.array([x], np.int32) for x in ids.tolist()])
 
 
-def encode_chunks(v: Vocabulary, chunks: list[str], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of each chunk: all in one array, where each begins, and how many each has."""
-    from xxhash import xxh64_intdigest
-
-    size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    chars = v.char_id[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keys = np.fromiter((xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed) for c in chunks), np.uint64, len(chunks)) if dropout > 0 else np.zeros(len(chunks), np.uint64)
+def _encode_chunks(v: Vocabulary, codes: np.ndarray, begin: np.ndarray, keys: np.ndarray, offset: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the chunks that begin there: all in one array, where each begins, and how many each has."""
+    size = np.diff(np.append(begin, len(codes)))
     parts: list[np.ndarray] = []
     owner: list[np.ndarray] = []
-    count = np.zeros(len(chunks), dtype=np.int64)
+    count = np.zeros(len(begin), dtype=np.int64)
     order = np.argsort(size, kind="stable")
-    bounds = np.flatnonzero(np.diff(size[order])) + 1
-    for same in np.split(order, bounds):
-        length = int(size[same[0]]) if len(same) else 0
-        if not length:
-            continue
+    for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+        length = int(size[same[0]])
         if length > LONG:
-            found = [(np.array([i]), _agenda(v, chars[begin[i] : begin[i] + length], int(keys[i]), dropout)[None, :]) for i in same]
+            found = [(np.array([i]), _agenda(v, v.char_id[codes[begin[i] : begin[i] + length]], int(keys[i]), int(offset[i]), dropout)[None, :]) for i in same]
         else:
             found = []
             for cut in range(0, len(same), 1 << 15):
                 some = same[cut : cut + (1 << 15)]
-                found += [(some[r], s) for r, s in _lockstep(v, chars[begin[some][:, None] + np.arange(length)], keys[some], dropout)]
+                found += [(some[r], s) for r, s in _lockstep(v, v.char_id[codes[begin[some][:, None] + np.arange(length)]], keys[some], offset[some], dropout)]
         for rows, symbols in found:
             odd = (symbols >= v.size).any(axis=1)
             for r, s in zip(rows[odd], symbols[odd], strict=True):
@@ -211,9 +222,9 @@ def encode_chunks(v: Vocabulary, chunks: list[str], seed: int, dropout: float) -
             owner.append(rows)
             count[rows] = symbols.shape[1]
     if not parts:
-        return np.zeros(0, np.int32), np.zeros(len(chunks), np.int64), count
+        return np.zeros(0, np.int32), np.zeros(len(begin), np.int64), count
     rows = np.concatenate(owner)
-    at = np.zeros(len(chunks), dtype=np.int64)
+    at = np.zeros(len(begin), dtype=np.int64)
     at[rows] = np.concatenate(([0], np.cumsum(count[rows])[:-1]))
     return np.concatenate(parts).astype(np.int32), at, count
 
@@ -225,20 +236,35 @@ def _gather(at: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(shift, count) + np.arange(total)
 
 
-def encode_texts(v: Vocabulary, texts: list[str], seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and how many each text has. An empty text has none."""
-    known: dict[str, int] = {}
-    number = known.setdefault
-    use, sizes = [], []
-    for t in texts:
-        found = _CHUNK.findall(" " + t) if t else []
-        use.append(np.fromiter((number(c, len(known)) for c in found), np.int64, len(found)))
-        sizes.append(len(found))
-    ids, at, count = encode_chunks(v, list(known), seed, dropout)
-    which = np.concatenate(use) if use else np.zeros(0, np.int64)
-    each = count[which]
-    ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)]
-    return ids[_gather(at[which], each)], np.diff(ends)
+def encode_texts(v: Vocabulary, texts: list[str], seed: int = SEED, dropout: float = DROPOUT, documents: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and how many each text has. An empty text has none.
+
+    `documents` are the keys of the texts' documents; without them, the places in the list.
+    """
+    each = [" " + t if t else "" for t in texts]
+    codes = np.frombuffer("".join(each).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in each]))).astype(np.int64)
+    first = codes == 32
+    first[1:] &= codes[:-1] != 32
+    first[ends[:-1][np.diff(ends) > 0]] = True
+    begin = np.flatnonzero(first)
+    per_text = np.diff(np.searchsorted(begin, ends))
+    text = np.repeat(np.arange(len(texts)), per_text)
+    keys = np.zeros(len(begin), dtype=np.uint64)
+    if dropout > 0 and len(begin):
+        document = np.arange(len(texts), dtype=np.uint64) if documents is None else documents
+        nth = np.arange(len(begin)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        keys = _mix(_mix(document[text] + np.uint64(seed)) + nth.astype(np.uint64))
+    # long chunks are cut where no piece holds the two characters: no merge ever reaches over such a place
+    size = np.diff(np.append(begin, len(codes)))
+    long_ = np.repeat(size > LONG, size)
+    at = np.flatnonzero(long_[1:] & ~first[1:] & long_[:-1]) + 1
+    pair = codes[at - 1].astype(np.uint64) << np.uint64(32) | codes[at]
+    cut = at[v.inside[np.minimum(np.searchsorted(v.inside, pair), len(v.inside) - 1)] != pair]
+    starts = np.sort(np.concatenate([begin, cut]))
+    chunk = np.searchsorted(begin, starts, side="right") - 1
+    ids, place, count = _encode_chunks(v, codes, starts, keys[chunk], starts - begin[chunk], dropout)
+    return ids[_gather(place, count)], np.bincount(text[chunk], weights=count, minlength=len(texts)).astype(np.int64)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -249,52 +275,35 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]
     return [data[a + 1 if data[a : a + 1] == b" " else a : b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _variant(text: str, variants: int) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 11) % variants
-
-
-def _encoder(held, seed: int, dropout: float, variants: int):
+def _encoder(held, seed: int, dropout: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        for batch in blocks(batches, "text", 8 << 20):
+        for batch in blocks(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
-            ids: list = [None] * len(texts)
-            whole = [False] * len(texts)
-            groups: dict[int, list[int]] = {}
-            for i, t in enumerate(texts):
-                if t is not None:
-                    groups.setdefault(_variant(t, variants), []).append(i)
-            for variant, rows in groups.items():
-                flat, sizes = encode_texts(v, [texts[i] for i in rows], seed * 1_000_003 + variant, dropout)
-                back = decode_ids(v, flat, sizes)
-                ends = np.concatenate(([0], np.cumsum(sizes))).tolist()
-                for k, i in enumerate(rows):
-                    ids[i] = flat[ends[k] : ends[k + 1]]
-                    whole[i] = back[k] == texts[i].encode("utf-8", "surrogatepass")
-            sizes = [0 if x is None else len(x) for x in ids]
-            flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
+            documents = np.asarray(batch.column("row"), dtype=np.int64).view(np.uint64)
+            ids, sizes = encode_texts(v, [t or "" for t in texts], seed, dropout, documents)
+            back = decode_ids(v, ids, sizes)
+            whole = [t is not None and b == t.encode("utf-8", "surrogatepass") for t, b in zip(texts, back, strict=True)]
             ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            mask = pa.array([x is None for x in ids], pa.bool_())
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()), mask=mask)
+            lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(whole, pa.bool_())], ["doc_id", "ids", "lossless"])
 
     return run
 
 
-def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, ids, lossless` for every row: the ids of the whole text, and whether they decode to it.
 
-    A null text has null ids and is not lossless; an empty one has no ids. Repeated rows give
-    equal ids. `model` is the path of a merge-type SentencePiece model that the driver can read.
+    A document is told from others by id and text. A null text has null ids and is not lossless;
+    an empty one has no ids; a null id is an id like others. Rows that repeat both id and text give equal ids; an empty table gives no rows. Other
+    columns are not looked at. `model` is the path of a merge-type SentencePiece model that the driver can read.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(model or default_model(), "rb") as f:
         held = spark.sparkContext.broadcast(Vocabulary(f.read()))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(held, seed, dropout, variants), "doc_id long, ids array<int>, lossless boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encoder(held, seed, dropout), "doc_id long, ids array<int>, lossless boolean")
 
 
 def _decoder(held):
