@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontam, langid, pieces, pii, quality, secretscan
 from tidemark.llm._bytes import flat
+from tidemark.llm._sample import spread
 from tidemark.llm._shared import crc_part
 
 from .conftest import ODD
@@ -501,3 +502,78 @@ def test_a_later_system_turn_is_kept(spark, before):
     first = next(i for i, x in enumerate(said) if ("system", "answer briefly") in x)
     assert all(x[0] == ("system", "answer briefly") for x in said[first + 1 :])
     assert all(x.count(("system", "answer briefly")) == 1 for x in said[first:])
+
+
+# --- training samples and features
+
+
+def naive_repetition(t):
+    data = t.encode().lower()
+    w, rows = data.split(), data.split(b"\n") if data else []
+    n = max(len(w), 1)
+    return [np.log1p(len(w)), sum(map(len, w)) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, len(set(rows)) / max(len(rows), 1), np.log1p(len(rows)), float(not w)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\té.", max_size=60), min_size=1, max_size=5))
+def test_repetition_equals_sets(texts):
+    got = quality._repetition(*flat(pa.array(texts, pa.string())))
+    assert np.allclose(got, [naive_repetition(t) for t in texts])
+
+
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "x" * 300, *[" ".join(rng.choices(["one", "two", "THREE", "four\nfive", "six. "], k=rng.randint(1, 400))) for _ in range(20)]]
+    whole = quality.features(pa.array(texts))
+    monkeypatch.setattr(quality, "_PIECE", 64)
+    assert np.allclose(whole, quality.features(pa.array(texts)), atol=1e-6)
+    assert np.allclose(whole[:, -7:], [naive_repetition(t) for t in texts], atol=1e-5)
+
+
+def test_risk_falls_along_the_gradient():
+    """The non-negative risk of the fitted scorer is under that of the constant one, and it tells the two kinds apart."""
+    rng = np.random.default_rng(1)
+    make = lambda n, at: np.float32(rng.normal(at, 1, (n, quality.WIDTH)))
+    positive, unlabelled, prior = make(500, 0.3), np.concatenate([make(600, 0.3), make(400, -0.3)]), 0.6
+    model = quality.Model(positive, unlabelled, prior)
+
+    def risk(p, u):
+        loss = lambda s: -np.log(np.clip(s, 1e-9, 1))
+        return prior * loss(p).mean() + max(0.0, loss(1 - u).mean() - prior * loss(1 - p).mean())
+
+    fitted = risk(model.score(positive), model.score(unlabelled))
+    assert fitted < 0.5 * risk(np.full(500, prior), np.full(1000, prior))
+    assert (model.score(make(200, 0.3))[:, None] > model.score(make(200, -0.3))[None, :]).mean() > 0.98
+
+
+def test_samples_are_bounded_whole_and_even(spark):
+    """One id a thousand times with other texts, one row a thousand times, and a bound under the number of rows."""
+    rows = [(1, f"text {i}", "a") for i in range(1000)] + [(2, "same", "a")] * 1000 + [(i, "own", "b") for i in range(3, 300)]
+    df = spark.createDataFrame(rows, "id long, text string, by string")
+    take = lambda d, n: sorted(map(tuple, spread(d, ["id", "text"], n, F.col("by")).collect()))
+    some = take(df.repartition(7), 256)
+    assert [sum(r[2] == b for r in some) for b in "ab"] == [256, 256]
+    assert some == take(df.repartition(3, "text"), 256)
+    everything = take(df, 4000)
+    assert everything == sorted(set(rows))
+    assert set(some) <= set(everything)
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(docs.where("doc_id < 20").select("doc_id", F.reverse("text"), "lang"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    a, b = (quality.fit(d, labels) for d in (docs.repartition(5), docs.orderBy(F.desc("text"))))
+    assert (a.weight == b.weight).all()
+    x, y = (langid.fit(d) for d in (docs.repartition(5), docs.orderBy(F.desc("text"))))
+    assert all((p == q).all() for p, q in zip([*x.conv, x.out], [*y.conv, y.out], strict=True))
+
+
+def test_convolution_equals_plain_loops(spark):
+    """Pooled filter responses by look-up tables against sums over a window, byte by byte."""
+    net = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    x = np.random.default_rng(2).integers(0, langid.CLASSES, (3, langid.WINDOW)).astype(np.uint8)
+    want = [[max(sum(filt[j, row[i + j], f] for j in range(w)) for i in range(langid.WINDOW - w + 1)) for w, filt in zip(langid.WIDTHS, net.conv, strict=True) for f in range(langid.FILTERS)] for row in x]
+    assert np.allclose(net.pooled(x), want, atol=1e-4)
+    z = np.maximum(np.array(want) + net.bias, 0) @ net.out + net.shift
+    assert np.allclose(net.probabilities(x), np.exp(z) / np.exp(z).sum(axis=1, keepdims=True), atol=1e-4)

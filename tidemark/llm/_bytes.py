@@ -54,3 +54,46 @@ def outside(spans: np.ndarray, others: list[tuple[int, int]]) -> np.ndarray:
     reach = np.maximum.accumulate(end)
     before = np.searchsorted(start, spans[:, 1]) - 1  # the last that begins before a span's end
     return spans[(before < 0) | (reach[np.maximum(before, 0)] <= spans[:, 0])]
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PART = 1 << 16
+_POWER = np.cumprod(np.full(_PART, _ODD, dtype=np.uint64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes: sums over its parts of up to 64 kB of polynomials in their bytes, modulo 2^64."""
+    parts = -(-size // _PART)
+    whose = np.repeat(np.arange(len(size)), parts)
+    nth = np.arange(len(whose)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = start[whose] + nth * _PART
+    own = np.minimum(_PART, size[whose] - nth * _PART)
+    out = size.astype(np.uint64)
+    end = np.cumsum(own)
+    at = 0
+    while at < len(own):
+        low = end[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(end, low + (1 << 20), side="right")))
+        first = end[at:to] - own[at:to] - low
+        within = np.arange(end[to - 1] - low) - np.repeat(first, own[at:to])
+        byte = data[within + np.repeat(begin[at:to], own[at:to])].astype(np.uint64)
+        h = np.add.reduceat((byte + np.uint64(1)) * _POWER[within], first)
+        np.add.at(out, whose[at:to], mix(h + nth[at:to].astype(np.uint64) * _ODD))
+        at = to
+    return mix(out)
+
+
+def different(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each of n owners has."""
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return np.bincount(owner[new], minlength=n)

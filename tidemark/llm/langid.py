@@ -1,6 +1,6 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
-Bytes fall into 64 classes. Filters two, three and four bytes wide slide over windows of fixed
+Bytes fall into 128 classes: letters without case, and each byte over 127 that can begin or go on a letter of two bytes. Filters two, three and four bytes wide slide over windows of fixed
 length; each filter's greatest response in a window goes through a rectifier to a softmax. A
 document's scores are the means over all its windows, weighted by the bytes that they hold.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import flat
-from tidemark.llm._sample import spread_ids
+from tidemark.llm._sample import spread
 from tidemark.llm._shared import blocks, crc_part, ship
 
 WINDOW = 128
@@ -27,12 +27,14 @@ WINDOWS_EACH = 6
 UNKNOWN = "und"
 
 _SPACE = 27
+CLASSES = 128
 _CLASS = np.full(256, 28, dtype=np.uint8)  # other ASCII marks
 _CLASS[ord("a") : ord("z") + 1] = _CLASS[ord("A") : ord("Z") + 1] = np.arange(26)
 _CLASS[ord("0") : ord("9") + 1] = 26
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
-_CLASS[0x80:0xC0] = 32 + (np.arange(64) & 31)
-_CLASS[0xC0:0xC4], _CLASS[0xC4:0xE0], _CLASS[0xE0:] = 29, 30, 31
+_CLASS[0x80:0xC0] = 29 + np.arange(64)
+_CLASS[0xC0:0xE0] = 93 + np.arange(32)
+_CLASS[0xE0:0xE3], _CLASS[0xE3:0xEA], _CLASS[0xEA:] = 125, 126, 127
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ class Network:
     def __init__(self, labels: list[str], seed: int = 4):
         rng = np.random.default_rng(seed)
         self.labels = labels
-        self.conv = [rng.normal(0, 0.3, (w, 64, FILTERS)).astype(np.float32) for w in WIDTHS]
+        self.conv = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(FILTERS * len(WIDTHS), dtype=np.float32)
         self.out = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), max(1, len(labels)))).astype(np.float32)
         self.shift = np.zeros(max(1, len(labels)), dtype=np.float32)
@@ -64,12 +66,12 @@ class Network:
     def freeze(self) -> None:
         """Tables over pairs of classes: a filter's response is one look-up for two bytes."""
         c2, c3, c4 = self.conv
-        pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(64 * 64, FILTERS)
+        pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(CLASSES * CLASSES, FILTERS)
         self.tables = (pair(c2[0], c2[1]), pair(c3[0], c3[1]), c3[2], pair(c4[0], c4[1]), pair(c4[2], c4[3]))
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
         t2, t3, t3b, t4, t4b = self.tables
-        p = x[:, :-1].astype(np.int32) * 64 + x[:, 1:]
+        p = x[:, :-1].astype(np.int32) * CLASSES + x[:, 1:]
         peak = [t2[p].max(axis=1)]
         r = t3[p[:, :-1]]
         r += t3b[x[:, 2:]]
@@ -126,11 +128,9 @@ class Network:
 
 
 def _has_letter(data: np.ndarray, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    plain = np.concatenate(([0], np.cumsum(classes < 26)))
-    out = plain[offsets[1:]] > plain[offsets[:-1]]
-    high = np.concatenate(([0], np.cumsum(data >= 0x80)))
-    for i in np.flatnonzero(~out & (high[offsets[1:]] > high[offsets[:-1]])):
-        out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+        out[i] = (classes[a:b] < 26).any() or ((data[a:b] >= 0x80).any() and any(c.isalpha() for c in data[a:b].tobytes().decode("utf-8", "replace")))
     return out
 
 
@@ -159,16 +159,17 @@ def _predictor(held):
 
 
 def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in blocks(batches, "text", 4 << 20):
         data, offsets = flat(batch.column("text"))
         classes = _CLASS[data]
         start, size, owner = _windows(data, offsets)
-        keep = []
-        for i in range(batch.num_rows):
-            own = np.flatnonzero((owner == i) & (size >= min(WINDOW, 24)))
-            keep.append(own[np.unique(np.linspace(0, len(own) - 1, WINDOWS_EACH).astype(int))] if len(own) else own)
-        at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-        if len(at):
+        fit_ = np.flatnonzero(size >= 24)
+        at = []
+        for low, high in zip(np.searchsorted(owner[fit_], np.arange(batch.num_rows)), np.searchsorted(owner[fit_], np.arange(batch.num_rows), side="right"), strict=True):
+            if high > low:
+                at.append(fit_[low + np.unique(np.linspace(0, high - low - 1, WINDOWS_EACH).astype(int))])
+        if at:
+            at = np.concatenate(at)
             cut = _cut(classes, start[at], size[at])
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(owner[at])), pa.array([r.tobytes() for r in cut], pa.binary())], ["lang", "window"])
 
@@ -176,14 +177,13 @@ def _picker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """A network trained on at most DOCS_EACH documents of each language, WINDOWS_EACH windows of each, spread over the text.
 
-    Only ids whose crc32 mod 4 is not 2 and rows with a language count. Without any, the network knows no language.
+    Only ids whose crc32 mod 4 is not 2 and rows with a language count. Rows that repeat id and text count once, and
+    the order of rows does not matter. Without any, the network knows no language. Documents of under 24 bytes train nothing.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_part(F.col(id_col)) != 2))
-    ids = spread_ids(known, id_col, DOCS_EACH, F.col(lang_col))
-    some = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.select("id")), "id", "left_semi")
-    got = some.select("lang", "text").mapInArrow(_picker, "lang string, window binary").collect()
+    rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    got = spread(rows, ["id", "text"], DOCS_EACH, F.col("lang")).select("lang", "text").mapInArrow(_picker, "lang string, window binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     labels = sorted({r[0] for r in got})
     net = Network(labels)

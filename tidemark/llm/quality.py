@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import flat
-from tidemark.llm._sample import spread_ids
+from tidemark.llm._bytes import different, flat, owners, range_hashes, runs, table
+from tidemark.llm._sample import spread
 from tidemark.llm._shared import blocks, crc_part, ship
 
 #: The training sample: at most so many trusted positives, and so many unlabelled documents.
-SAMPLE = 4096
+SAMPLE, UNLABELLED = 4096, 8192
 THRESHOLD = 0.7
 
 #: Classes of bytes whose pairs are counted: letters, digits, blanks, line ends, single marks, other marks, the two kinds of bytes over 127.
@@ -32,33 +30,29 @@ for _i, _b in enumerate(_MARKS):
     _CLASS[_b] = 8 + _i
 _N = 8 + len(_MARKS)
 WIDTH = _N * _N + _N + 7
-_PIECE = 4 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _pieces(data: bytes) -> Iterator[bytes]:
-    begin = 0
-    while begin < len(data):
-        cut = _SPACE.search(data, begin + _PIECE) if len(data) - begin > _PIECE else None
-        end = cut.start() if cut else len(data)
-        yield data[begin:end]
-        begin = end
-
-
-def _repetition(data: bytes) -> tuple[float, ...]:
-    """Words, their mean length, share of different ones, share equal to the one before, share of different lines; for texts of over 4 MB, means over pieces."""
-    words = different = same = lines = lines_different = chars = 0
-    for piece in _pieces(data):
-        w = piece.lower().split()
-        words += len(w)
-        different += len(set(w))
-        same += sum(map(eq, w, w[1:]))
-        chars += sum(map(len, w))
-        rows = piece.split(b"\n")
-        lines += len(rows)
-        lines_different += len(set(rows))
-    n = max(words, 1)
-    return (np.log1p(words), chars / n, different / n, same / n, lines_different / max(lines, 1), np.log1p(lines), float(words == 0))
+_PIECE = 1 << 20
+_BLANK = table(b" \t\n\x0b\x0c\r")
+
+
+def _repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each whole text: words, their mean length, share of different ones, share equal to the one before, share of different lines, lines, and whether it has no word."""
+    n = len(offsets) - 1
+    data = np.frombuffer(data.tobytes().lower(), dtype=np.uint8)
+    start, end = runs(~_BLANK[data], offsets, 1)
+    text = owners(start, offsets)
+    h = range_hashes(data, start, end - start)
+    words = np.bincount(text, minlength=n)
+    same = np.bincount(text[1:][(h[1:] == h[:-1]) & (text[1:] == text[:-1])], minlength=n)
+    chars = np.bincount(text, weights=end - start, minlength=n)
+    full = np.flatnonzero(np.diff(offsets))
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([offsets[full], breaks + 1]))
+    ends = np.sort(np.concatenate([breaks, offsets[full + 1]]))
+    line = np.repeat(np.arange(n), np.diff(np.searchsorted(breaks, offsets)) + (np.diff(offsets) > 0))
+    lines = np.bincount(line, minlength=n)
+    lines_different = different(line, range_hashes(data, starts, ends - starts), n)
+    most = np.maximum(words, 1)
+    return np.stack([np.log1p(words), chars / most, different(text, h, n) / most, same / most, lines_different / np.maximum(lines, 1), np.log1p(lines), words == 0], axis=1)
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -66,7 +60,6 @@ def features(column: pa.Array) -> np.ndarray:
     data, offsets = flat(column)
     n = len(offsets) - 1
     out = np.zeros((n, WIDTH), dtype=np.float32)
-    raw = data.tobytes()
     for i in range(n):
         a, b = int(offsets[i]), int(offsets[i + 1])
         if b > a:
@@ -78,7 +71,7 @@ def features(column: pa.Array) -> np.ndarray:
                 single += np.bincount(c[:_PIECE], minlength=_N)
             out[i, : _N * _N] = np.sqrt(pairs / (b - a))
             out[i, _N * _N : -7] = np.sqrt(single / (b - a))
-        out[i, -7:] = _repetition(raw[a:b])
+    out[:, -7:] = _repetition(data, offsets)
     return out
 
 
@@ -123,35 +116,35 @@ class Model:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "text"):
         x = features(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from trusted positives and unlabelled documents, SAMPLE of each at most; ids whose crc32 mod 4 is 2 are left out.
+    """A model from at most SAMPLE trusted positives and UNLABELLED unlabelled documents; ids whose crc32 mod 4 is 2, and null ids, are left out.
 
     The unlabelled are drawn from all documents. The class prior is estimated as the share of
     label 1 among the labels, smoothed; single negatives are used for nothing else. An id that is
-    labelled both ways counts for neither.
+    labelled both ways counts for neither. Rows of one id with other texts are documents of their own, rows that
+    repeat both count once, and the order of rows does not matter. Without positives or documents every score is the prior.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     seen = (
         labels.where(F.col(label_col).isNotNull() & (crc_part(F.col(id_col)) != 2))
-        .groupBy(id_col)
+        .groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
         .where("low = high")
     )
     one, every = seen.agg(F.count(F.when(F.col("low") == 1, 1)), F.count(F.lit(1))).first()
     prior = min(0.98, (one + 1) / (every + 2))
-    good = spread_ids(seen.where("low = 1"), id_col, SAMPLE, salt=1).select("id", F.lit(1).alias("good"))
-    other = spread_ids(docs.where(crc_part(F.col(id_col)) != 2), id_col, SAMPLE, salt=2).select("id", F.lit(0).alias("good"))
-    wanted = good.union(other).groupBy("id").agg(F.max("good").alias("good"), (F.min("good") == 0).alias("free"))
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    roles = {r["id"]: (r["good"], r["free"]) for r in wanted.collect()}
-    got = some.join(F.broadcast(wanted.select("id")), "id", "left_semi").mapInArrow(_measured, "id long, x binary").collect()
-    got = sorted({r["id"]: bytes(r["x"]) for r in got}.items())
-    array = lambda rows: np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, WIDTH)
-    return Model(array([x for i, x in got if roles[i][0]]), array([x for i, x in got if roles[i][1]]), prior)
+    rows = docs.where(crc_part(F.col(id_col)) != 2).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    good = spread(rows.join(F.broadcast(spread(seen.where("low = 1").select("id"), ["id"], SAMPLE, salt=1)), "id", "left_semi"), ["id", "text"], SAMPLE, salt=1)
+    other = spread(rows, ["id", "text"], UNLABELLED, salt=2)
+    return Model(*(_collected(x.select("text")) for x in (good, other)), prior)
+
+
+def _collected(sample: DataFrame) -> np.ndarray:
+    got = sorted(bytes(r["x"]) for r in sample.mapInArrow(_measured, "x binary").collect())
+    return np.frombuffer(b"".join(got), dtype=np.float32).reshape(-1, WIDTH)
 
 
 def _scorer(held, threshold: float):
@@ -165,7 +158,7 @@ def _scorer(held, threshold: float):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`doc_id, held_out, score, predicted` of every whole text. Null texts score as empty ones; a null id is not held out."""
+    """`doc_id, held_out, score, predicted` of every whole text. Null texts score as empty ones; a null id is not held out. Repeated rows give as many rows; other columns are not looked at."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
