@@ -409,9 +409,12 @@ def test_pii_odd_rows(spark, odd, none, same_ids):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "", "a: b</turn>\\"]), st.text(alphabet="ab \\#</turn>:\n", max_size=40)), min_size=1, max_size=12), st.integers(1, 60), st.integers(0, 3))
-def test_windows_read_back(turns, budget, history):
+def test_windows_read_back(vocabulary, turns, budget, history):
     c = chat._Conversation(1, budget, history)
-    windows = [w for t in turns if (w := c.add(chat.Turn(*t)))] + [c.emit()]
+    windows = [w for t in chat._measured(vocabulary, *zip(*turns, strict=True)) if (w := c.add(t))] + [c.emit()]
+    for w in windows:
+        sizes = [pieces.encode_texts(vocabulary, [f"{x}\n"], dropout=0.0)[1][0] for x in re.split(r"(?<=</turn>)\n(?=### |$)", w["text"]) if x]
+        assert sum(sizes) == w["tokens"] or len(sizes) != w["n_turns"]
     back, loss = [], []
     for w in windows:
         own = chat.parse(w["text"])
@@ -426,6 +429,19 @@ def test_windows_read_back(turns, budget, history):
     assert loss == [t for r, t in turns if r == "assistant"]
 
 
+def test_damaged_windows_are_refused_in_time():
+    began = time.perf_counter()
+    for text in ("### user: " + "a\\" * 200_000, "### " + "x" * 200_000, "### user: " + "<" * 200_000 + "</turn>"):
+        with pytest.raises(ValueError):
+            chat.parse(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_chat_with_other_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", 5, "w"), (1, 1, "assistant", "b", 6, "w")], "conv_id long, turn long, role string, text string, window int, loss string")
+    assert chat.read_back(chat.format_windows(df)).first().n_turns == 2
+
+
 def test_chat_digests(spark):
     rows = [(1, 2, "assistant", "two"), (1, 1, "user", None), (1, 0, "system", "be kind"), (None, 0, None, "x"), (2, 0, "assistant", "long " * 900), (2, 0, "assistant", "long " * 900)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

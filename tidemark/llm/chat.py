@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows of whole turns.
 
 A turn is written `### role: text</turn>` and a line end; control strings inside texts are
-escaped by backslashes. Running sums of turn tokens choose spans of whole turns: each window holds
+escaped by backslashes. Running sums of the turns' pieces choose spans of whole turns: each window holds
 the conversation's first system turn, wherever it stood before, a few turns of history if they fit, and new turns up to the
 budget. Only assistant texts in new turns are under the loss mask, so each is a target once.
 """
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import ship
+from tidemark.llm._shared import blocks, ship
+from tidemark.llm.pieces import Vocabulary, default_model, encode_texts
 
 BUDGET = 512
 HISTORY = 2
 TARGET = "assistant"
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]+|\\.)*): ((?:[^\\<]+|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 WINDOW_SCHEMA = "conv_id long, window long, text string, n_turns int, n_repeated int, loss array<struct<start:int,end:int>>, tokens int"
 
 
@@ -35,24 +35,38 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def tokens(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
-
-
 class Turn:
     __slots__ = ("head", "role", "size", "text")
 
-    def __init__(self, role: str | None, text: str | None):
+    def __init__(self, role: str | None, text: str | None, size: int = 0):
         self.role = role or ""
         self.head = f"### {escape(self.role).replace(':', chr(92) + ':')}: "
         self.text = escape(text or "")
-        self.size = tokens(self.head) + tokens(self.text) + 2
+        self.size = size
+
+    def written(self) -> str:
+        return f"{self.head}{self.text}</turn>\n"
+
+
+def _measured(v: Vocabulary, roles: list, texts: list) -> Iterator[Turn]:
+    """Turns with the number of pieces that each is written with; some MB of text are taken at a time."""
+    held: list[Turn] = []
+    size = 0
+    for i, (role, text) in enumerate(zip(roles, texts, strict=True)):
+        held.append(Turn(role, text))
+        size += len(held[-1].text)
+        if size > 1 << 20 or i == len(roles) - 1:
+            _, sizes = encode_texts(v, [t.written() for t in held], dropout=0.0)
+            for t, n in zip(held, sizes.tolist(), strict=True):
+                t.size = n
+            yield from held
+            held, size = [], 0
 
 
 def _window(conv_id, number: int, repeated: list[Turn], new: list[Turn]) -> dict:
     parts, at, loss = [], 0, []
     for i, t in enumerate(repeated + new):
-        parts.append(f"{t.head}{t.text}</turn>\n")
+        parts.append(t.written())
         if i >= len(repeated) and t.role == TARGET:
             loss.append({"start": at + len(t.head), "end": at + len(t.head) + len(t.text)})
         at += len(parts[-1])
@@ -91,19 +105,20 @@ class _Conversation:
         return _window(self.conv_id, self.number - 1, self.repeated, self.new)
 
 
-def _formatter(budget: int, history: int):
+def _formatter(vocabulary, budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("tokens", pa.int32())])
         state: _Conversation | None = None
         done: list[dict] = []
         held = 0
-        for batch in batches:
-            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role"), batch.column("text"), strict=True):
+        for batch in blocks(batches, "text"):
+            turns = _measured(vocabulary.value, batch.column("role").to_pylist(), batch.column("text").to_pylist())
+            for conv, turn in zip(batch.column("conv_id").to_pylist(), turns, strict=True):
                 if state is None or state.conv_id != conv:
                     if state is not None:
                         done.append(state.emit())
                     state = _Conversation(conv, budget, history)
-                out = state.add(Turn(role.as_py(), text.as_py()))
+                out = state.add(turn)
                 if out:
                     done.append(out)
                     held += len(out["text"])
@@ -118,18 +133,22 @@ def _formatter(budget: int, history: int):
     return run
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, model: str | None = None) -> DataFrame:
     """Windows of every conversation, by conv_id and then in order within a partition.
 
     Turns go by `turn`, ties by role and text; null roles and texts count as empty, rows of a
-    null conv_id are one conversation. A turn of more tokens than the budget is a window with
-    what must be repeated. Repeated rows are turns of their own. One conversation is formatted
+    null conv_id are one conversation. The budget counts pieces of the vocabulary at `model`, turn by turn as they are
+    written. A turn of more pieces than the budget is a window with what must be repeated. An empty table gives no rows, and
+    other columns are not looked at. Repeated rows are turns of their own. One conversation is formatted
     as a stream: its digests and windows need its order, but no more than a window is held.
     """
-    ship(conversations.sparkSession)
+    spark = conversations.sparkSession
+    ship(spark)
+    with open(model or default_model(), "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(Vocabulary(f.read()))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_formatter(budget, history), WINDOW_SCHEMA)
+    return rows.mapInArrow(_formatter(vocabulary, budget, history), WINDOW_SCHEMA)
 
 
 def parse(text: str) -> list[tuple[str, str]]:

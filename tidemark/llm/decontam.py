@@ -36,9 +36,9 @@ def _joined(array: Column, begin: Column, length: Column) -> Column:
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """`window, len, head, items`: each different window, its words, its first words' hash and the ids that have it.
 
-    An item of fewer words than a window, but not none, is one window. Ids become strings; null ids count as absent.
+    An item of fewer words than a window, but not none, is one window. Ids become strings; an item without an id has windows but is in no list.
     """
-    item = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
+    item = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
     n = F.size("w")
     item = item.where(n > 0)
     begin = F.explode(F.when(n <= width, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - width)))
@@ -77,12 +77,17 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     pieces = F.transform(starts, lambda c: F.struct(c.alias("c"), F.when(c >= 0, piece(c)).otherwise(empty).alias("w")))
     parts = base.select("doc_id", "row", "n", F.explode(pieces).alias("x")).select("doc_id", "row", "n", "x.c", "x.w").withColumn("m", F.size("w"))
     w, m, own = F.col("w"), F.col("m"), F.col("c") < 0
-    heads = [F.transform(w, _heads_of(w, m, k)) for k in kinds]
+    tried_heads = [F.transform(w, _heads_of(w, m, k)) for k in kinds]
     mark = F.when(own, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    spread = parts.select("doc_id", "row", "n", "c", "w", "m", F.posexplode(F.concat(*heads, mark)).alias("p", "head"))
+    spread = parts.select("doc_id", "row", "n", "c", "w", "m", F.posexplode(F.concat(*tried_heads, mark)).alias("p", "head"))
+    heads = known.select("head", F.lit(1).alias("known")).distinct()
     if small:
-        at = F.broadcast(known.select("head", F.lit(1).alias("known")).distinct())
-        spread = spread.join(at, "head", "left").where(own | F.col("known").isNotNull())
+        spread = spread.join(F.broadcast(heads), "head", "left").where(own | F.col("known").isNotNull())
+    else:  # places without their words are joined with the heads; only words of pieces with a find are moved after that
+        places = spread.where(~own).select("row", "c", "p", "head").join(heads.hint("merge"), "head", "left_semi").select("row", "c", "p").distinct()
+        words_ = parts.where(~own).select("doc_id", "row", "c", "n", "w", "m").join(places.select("row", "c").distinct().hint("merge"), ["row", "c"], "left_semi").dropDuplicates(["row", "c"])
+        hits = places.join(words_.hint("merge"), ["row", "c"]).select("doc_id", "row", "n", "c", "w", "m", "p")
+        spread = spread.where(own).select("doc_id", "row", "n", "c", "w", "m", "p").union(hits)
     fits = F.lit(None).cast("array<int>")
     for k, kind in enumerate(kinds):
         fits = F.when(F.floor(F.col("p") / m) == k, F.array(*[F.lit(x) for x in lengths if min(ANCHOR, x) == kind])).otherwise(fits)
@@ -170,7 +175,7 @@ WITH d AS (
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 bw AS (
   SELECT DISTINCT item, least(len(w), 13) AS l, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -180,7 +185,7 @@ dw AS (
   FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, lens WHERE len(w) >= l)),
 h AS (SELECT dw.rid, dw.i, dw.l, bw.item FROM dw JOIN bw ON dw.s = bw.s AND dw.l = bw.l),
 p AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(i, i + l)) AS q FROM (SELECT DISTINCT rid, i, l FROM h)) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+t AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
        coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated

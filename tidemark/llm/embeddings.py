@@ -20,7 +20,7 @@ TABLES = 16
 PROJECTIONS = 8
 CELL = 1.0
 #: Buckets are compared in pairs of blocks of about so many vectors.
-BLOCK = 256
+BLOCK = 1024
 SEED = 12
 
 
