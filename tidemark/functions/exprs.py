@@ -28,13 +28,5 @@ def volatility(high: Column, low: Column, base: Column | None = None) -> Column:
     return F.when(base == 0, F.lit(0.0)).otherwise((high - low) / base)
 
 
-def millis_to_ts(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
-
-
-def seconds_between(earlier: Column, later: Column) -> Column:
-    return F.unix_timestamp(later) - F.unix_timestamp(earlier)
-
-
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

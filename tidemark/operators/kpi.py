@@ -1,8 +1,8 @@
-"""Questions over bars. Every one that asks about now takes `as_of_ms`."""
+"""Questions over bars. Every one that asks about now takes `as_of_ms`, a number or a scalar column that is found as the query runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import volatility
@@ -10,11 +10,11 @@ from tidemark.functions.exprs import volatility
 HOUR = 3_600_000
 
 
-def since(rows: DataFrame, as_of_ms: int, back_ms: int, column: str = "window_start_ms") -> DataFrame:
+def since(rows: DataFrame, as_of_ms: int | Column, back_ms: int, column: str = "window_start_ms") -> DataFrame:
     return rows.where(F.col(column) >= as_of_ms - back_ms)
 
 
-def volatility_topn(bars: DataFrame, as_of_ms: int, back_ms: int = HOUR, n: int = 10) -> DataFrame:
+def volatility_topn(bars: DataFrame, as_of_ms: int | Column, back_ms: int = HOUR, n: int = 10) -> DataFrame:
     """Symbols by mean volatility; the symbol breaks ties."""
     v = volatility(F.col("high"), F.col("low"))
     return (
@@ -26,12 +26,12 @@ def volatility_topn(bars: DataFrame, as_of_ms: int, back_ms: int = HOUR, n: int
     )
 
 
-def volatility_timeseries(bars: DataFrame, symbol: str, as_of_ms: int, back_ms: int = 24 * HOUR) -> DataFrame:
+def volatility_timeseries(bars: DataFrame, symbol: str, as_of_ms: int | Column, back_ms: int = 24 * HOUR) -> DataFrame:
     own = since(bars, as_of_ms, back_ms).where(F.col("symbol") == symbol)
     return own.select("window_start_ms", "symbol", volatility(F.col("high"), F.col("low")).alias("volatility")).orderBy("window_start_ms")
 
 
-def ohlcv(bars: DataFrame, symbol: str, as_of_ms: int, back_ms: int = 24 * HOUR) -> DataFrame:
+def ohlcv(bars: DataFrame, symbol: str, as_of_ms: int | Column, back_ms: int = 24 * HOUR) -> DataFrame:
     own = since(bars, as_of_ms, back_ms).where(F.col("symbol") == symbol)
     return own.select("window_start_ms", "open", "high", "low", "close", "volume", "trade_count", "vwap").orderBy("window_start_ms")
 
@@ -48,13 +48,13 @@ def log_return_stddev(bars: DataFrame) -> DataFrame:
     return step.groupBy("symbol").agg(F.stddev_samp("r").alias("stddev_log_return"), F.avg("r").alias("mean_log_return"), F.count("r").alias("n_returns"))
 
 
-def freshness(bars: DataFrame, as_of_ms: int, back_ms: int = 6 * HOUR) -> DataFrame:
+def freshness(bars: DataFrame, as_of_ms: int | Column, back_ms: int = 6 * HOUR) -> DataFrame:
     """Seconds since the last window end; null where there is no recent bar."""
     top = since(bars, as_of_ms, back_ms).agg(F.max("window_end_ms").alias("last_window_end_ms"))
-    return top.select("last_window_end_ms", F.floor((F.lit(as_of_ms) - F.col("last_window_end_ms")) / 1000).alias("freshness_seconds"))
+    return top.select("last_window_end_ms", F.floor(((F.lit(as_of_ms) if isinstance(as_of_ms, int) else as_of_ms) - F.col("last_window_end_ms")) / 1000).alias("freshness_seconds"))
 
 
-def missing_symbols(bars: DataFrame, expected: list[str], as_of_ms: int, back_ms: int = 300_000) -> DataFrame:
+def missing_symbols(bars: DataFrame, expected: list[str], as_of_ms: int | Column, back_ms: int = 300_000) -> DataFrame:
     """How many of the expected symbols have no recent bar, and which; names sorted and comma-joined."""
     wanted = bars.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in expected])).alias("symbol"))
     recent = since(bars, as_of_ms, back_ms).select("symbol").distinct().withColumn("seen", F.lit(True))
@@ -63,19 +63,15 @@ def missing_symbols(bars: DataFrame, expected: list[str], as_of_ms: int, back_ms
     return both.agg(F.count_if(gone).alias("missing_count"), F.array_join(F.array_sort(F.collect_list(F.when(gone, F.col("symbol")))), ",").alias("missing"))
 
 
-def anti(expected: DataFrame, recent: DataFrame) -> DataFrame:
-    return expected.join(recent, "symbol", "left_anti")
-
-
 def latest(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.orderBy(F.desc("window_start_ms"), "symbol", "window_ms").limit(n)
 
 
-def recent_count(bars: DataFrame, as_of_ms: int, back_ms: int = 600_000) -> DataFrame:
+def recent_count(bars: DataFrame, as_of_ms: int | Column, back_ms: int = 600_000) -> DataFrame:
     return since(bars, as_of_ms, back_ms).agg(F.count(F.lit(1)).alias("recent_bars"))
 
 
-def late_trend(flagged: DataFrame, as_of_ms: int, back_ms: int = 24 * HOUR, width_ms: int = HOUR) -> DataFrame:
+def late_trend(flagged: DataFrame, as_of_ms: int | Column, back_ms: int = 24 * HOUR, width_ms: int = HOUR) -> DataFrame:
     """Late and dropped trades by window."""
     start = F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(width_ms).cast("long"))
     own = flagged.select(start.alias("window_start_ms"), "is_late", "is_dropped")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +60,7 @@ def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:
     return hit.select(*by, at.alias("quantile"))
 
 
-def sum_by(samples: DataFrame, *by: str) -> DataFrame:
-    return samples.groupBy(*by).agg(F.sum("value").alias("value"))
-
-
-def alert(samples: DataFrame, condition: Column, for_s: int) -> DataFrame:
+def alert(samples: DataFrame, condition: Column, for_s: int | Column) -> DataFrame:
     """Adds `pending` and `firing`: the condition holds, and has held at every sample for `for_s` seconds or more."""
     w = Window.partitionBy("series").orderBy("ts_s")
     on = F.coalesce(condition, F.lit(False))
@@ -76,22 +74,57 @@ def grouped_alerts(alerts: DataFrame, *by: str) -> DataFrame:
     return alerts.where("firing").groupBy(*by).agg(F.count(F.lit(1)).alias("firing"), F.min("ts_s").alias("since_s"))
 
 
-#: Alert rules as (name, metric, comparison, seconds that it must hold).
+class Rule(NamedTuple):
+    """kind: `instant` compares a sample with the limit for equality, `max` the maximum over the window, `quantile` the quantile of a histogram's rates, times scale."""
+
+    name: str
+    metric: str
+    kind: str
+    limit: float
+    window_s: int
+    for_s: int
+    job: str | None = None
+    quantile: float = 0.95
+    scale: float = 1.0
+
+
+#: Metrics, limits, windows and durations of the alert rules.
 RULES = [
-    ("ProcessorDown", "up", "value = 0", 60),
-    ("ProcessorLag", "processor_lag_seconds", "value > 120", 120),
-    ("DataFreshness", "pipeline_freshness_seconds", "value > 120", 120),
-    ("EmissionLatencyP95", "window_emission_latency_p95_ms", "value > 2000", 120),
+    Rule("ProcessorDown", "up", "instant", 0, 0, 60, job="processor"),
+    Rule("ConsumerLagHigh", "processor_lag_seconds", "max", 120, 300, 120),
+    Rule("FreshnessHigh", "processor_pipeline_freshness_seconds", "max", 120, 300, 120),
+    Rule("LatencyHighP95", "window_emission_latency_seconds_bucket", "quantile", 2000, 300, 120, scale=1000.0),
 ]
 
 
-def evaluate_rules(samples: DataFrame) -> DataFrame:
-    """`alertname, series, ts_s, firing` of every rule over samples with a `metric` column."""
-    parts = [alert(samples.where(F.col("metric") == m), F.expr(c), d).select(F.lit(n).alias("alertname"), "series", "ts_s", "pending", "firing") for n, m, c, d in RULES]
-    out = parts[0]
+def quantile_of_rate(buckets: DataFrame, q: float, window_s: int) -> DataFrame:
+    """`series, ts_s, quantile` from the rates of a histogram's cumulative counters, `series, le, ts_s, value`. No rate gives no row."""
+    each = rate(buckets.select(F.struct("series", "le").alias("series"), "ts_s", "value"), window_s)
+    return histogram_quantile(each.select("series.series", "series.le", "ts_s", F.col("rate").alias("count")), q, "series", "ts_s")
+
+
+def evaluate_rules(samples: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """`alertname, series, ts_s, value, pending, firing` of every rule at every sample.
+
+    Samples are `metric, job, series, le, ts_s, value`. Each rule's value is made from the samples of
+    its own metric; pending and firing of all rules then come from one pass.
+    """
+    parts = []
+    for r in RULES if rules is None else rules:
+        own = samples.where((F.col("metric") == r.metric) & (F.col("job") == r.job if r.job else F.lit(True)))
+        if r.kind == "quantile":
+            got = quantile_of_rate(own, r.quantile, r.window_s).select("series", "ts_s", (F.col("quantile") * r.scale).alias("value"))
+        elif r.kind == "max":
+            got = max_over_time(own.select("series", "ts_s", "value"), r.window_s).select("series", "ts_s", F.col("max_over_time").alias("value"))
+        else:
+            got = own.select("series", "ts_s", "value")
+        on = F.col("value") == r.limit if r.kind == "instant" else F.col("value") > r.limit
+        parts.append(got.select(F.struct(F.lit(r.name).alias("alertname"), "series").alias("series"), "ts_s", "value", on.alias("_on"), F.lit(r.for_s).alias("_for")))
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        every = every.unionByName(p)
+    marked = alert(every, F.col("_on"), F.col("_for"))
+    return marked.select("series.alertname", "series.series", "ts_s", "value", "pending", "firing")
 
 
 def exposition(samples: DataFrame) -> DataFrame:

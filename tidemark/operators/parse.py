@@ -9,29 +9,31 @@ from tidemark.functions.exprs import finite
 from tidemark.schemas import MESSAGE
 
 RAW_KEPT = 2000
+TRADE_COLUMNS = ["event_time_ms", "ingest_time_ms", "symbol", "agg_trade_id", "price", "quantity", "is_buyer_maker", "stream"]
 _REQUIRED = {"event_time_ms": "E", "symbol": "s", "agg_trade_id": "a", "price": "p", "quantity": "q"}
 
 
-def _field(name: str) -> Column:
-    """A payload field, with or without the envelope around it."""
-    return F.coalesce(F.col(f"j.data.{name}"), F.col(f"j.{name}"))
-
-
 def _normalised(raw: DataFrame, value: str, ingest_ms: Column | None) -> DataFrame:
+    """The fields of each message, parsed once: an outer generator of one row keeps filters on them from copying the parser into themselves."""
     ingest = F.unix_millis(F.current_timestamp()) if ingest_ms is None else ingest_ms
-    j = raw.withColumn("j", F.from_json(F.col(value).cast("string"), MESSAGE, {"mode": "PERMISSIVE"}))
-    maker = F.lower(_field("m"))
-    return j.select(
-        F.col(value).cast("string").alias("raw"),
-        _field("E").try_cast("bigint").alias("event_time_ms"),
-        ingest.cast("bigint").alias("ingest_time_ms"),
-        F.upper(_field("s")).alias("symbol"),
-        _field("a").try_cast("bigint").alias("agg_trade_id"),
-        _field("p").try_cast("double").alias("price"),
-        _field("q").try_cast("double").alias("quantity"),
-        F.when(maker.isNull() | maker.isin("false", "0", ""), 0).otherwise(1).alias("is_buyer_maker"),
-        F.coalesce("j.stream", F.lit("")).alias("stream"),
-    )
+
+    def fields(x: Column) -> Column:
+        field = lambda n: F.coalesce(x["j"]["data"][n], x["j"][n])  # noqa: E731  with or without the envelope
+        maker = F.lower(field("m"))
+        return F.struct(
+            x["raw"].alias("raw"),
+            field("E").try_cast("bigint").alias("event_time_ms"),
+            F.upper(field("s")).alias("symbol"),
+            field("a").try_cast("bigint").alias("agg_trade_id"),
+            field("p").try_cast("double").alias("price"),
+            field("q").try_cast("double").alias("quantity"),
+            F.when(maker.isNull() | maker.isin("false", "0", ""), 0).otherwise(1).alias("is_buyer_maker"),
+            F.coalesce(x["j"]["stream"], F.lit("")).alias("stream"),
+        )
+
+    read = F.transform(F.array(F.col(value).cast("string")), lambda v: F.struct(v.alias("raw"), F.from_json(v, MESSAGE, {"mode": "PERMISSIVE"}).alias("j")))
+    # a message that is no JSON object gives a null struct, whose fields are null
+    return raw.select(ingest.cast("bigint").alias("ingest_time_ms"), F.inline_outer(F.transform(read, fields)))
 
 
 def _fault() -> Column:
@@ -46,7 +48,7 @@ def _fault() -> Column:
 def split(raw: DataFrame, value: str = "value", ingest_ms: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(trades, dead letters). A message is dead if it is no JSON object, or a required field is missing, does not convert or is not finite."""
     both = _normalised(raw, value, ingest_ms).withColumn("error", _fault())
-    trades = both.where(F.col("error").isNull()).drop("raw", "error")
+    trades = both.where(F.col("error").isNull()).select(*TRADE_COLUMNS)
     dead = both.where(F.col("error").isNotNull()).select("error", F.substring("raw", 1, RAW_KEPT).alias("raw"), "ingest_time_ms")
     return trades, dead
 

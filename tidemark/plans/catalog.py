@@ -8,13 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators import dedup, kpi, late, metrics, parse
 from tidemark.sources import store
-from tidemark.sources.trades import delayed, read_events, stream_events
+from tidemark.sources.trades import delayed, last_event_ms, read_events, stream_events
 from tidemark.streaming import jobs
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
@@ -27,10 +27,6 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _as_of(trades: DataFrame) -> int:
-    return trades.agg(F.max("event_time_ms")).first()[0] or 0
-
-
 def _bars(spark: SparkSession, sf: str, *widths: int) -> DataFrame:
     return B.bars(read_events(spark, sf), *widths)
 
@@ -84,29 +80,40 @@ def _gauge(spark: SparkSession, sf: str) -> DataFrame:
 # --- queries -----------------------------------------------------------------------------------
 
 
+def _recent(spark: SparkSession, sf: str, width: int, back: int) -> tuple[DataFrame, Column]:
+    """Bars whose windows begin in the time asked for or shortly before, from the events of that time only, and the time of the last event."""
+    now = last_event_ms(spark, sf)
+    return B.bars(read_events(spark, sf, now - back), width), now
+
+
 def volatility_topn(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return _rounded(kpi.volatility_topn(B.bars(t, HOUR), _as_of(t), 7 * DAY), "avg_volatility", "max_volatility", "total_volume")
+    bars, now = _recent(spark, sf, HOUR, 7 * DAY)
+    return _rounded(kpi.volatility_topn(bars, now, 7 * DAY), "avg_volatility", "max_volatility", "total_volume")
 
 
 def volatility_timeseries(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return _rounded(kpi.volatility_timeseries(B.bars(t, HOUR), SYMBOL, _as_of(t), 7 * DAY), "volatility")
+    bars, now = _recent(spark, sf, HOUR, 7 * DAY)
+    return _rounded(kpi.volatility_timeseries(bars, SYMBOL, now, 7 * DAY), "volatility")
 
 
 def ohlcv_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return _rounded(kpi.ohlcv(B.bars(t, HOUR), SYMBOL, _as_of(t), 7 * DAY), "vwap")
+    bars, now = _recent(spark, sf, HOUR, 7 * DAY)
+    return _rounded(kpi.ohlcv(bars, SYMBOL, now, 7 * DAY), "vwap")
 
 
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return kpi.freshness(B.finalized(B.bars(t, HOUR), _as_of(t) - 10_000), _as_of(t), DAY)
+    bars, now = _recent(spark, sf, HOUR, DAY)
+    return kpi.freshness(B.finalized(bars, now - 10_000), now, DAY)
 
 
 def missing_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return kpi.missing_symbols(B.bars(t, MINUTE), EXPECTED, _as_of(t), HOUR)
+    bars, now = _recent(spark, sf, MINUTE, HOUR)
+    return kpi.missing_symbols(bars, EXPECTED, now, HOUR)
+
+
+def recent_count(spark: SparkSession, sf: str) -> DataFrame:
+    bars, now = _recent(spark, sf, MINUTE, DAY)
+    return kpi.recent_count(bars, now, DAY)
 
 
 def late_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,8 +121,7 @@ def late_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def late_event_trend(spark: SparkSession, sf: str) -> DataFrame:
-    t = _arrived(spark, sf)
-    return kpi.late_trend(late.flagged(t, "arrival_ms", 10_000, HOUR), _as_of(t), 7 * DAY)
+    return kpi.late_trend(late.flagged(_arrived(spark, sf), "arrival_ms", 10_000, HOUR), last_event_ms(spark, sf), 7 * DAY)
 
 
 def dedup_trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +138,7 @@ def latest_version_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finalized_bars(spark: SparkSession, sf: str) -> DataFrame:
-    t = read_events(spark, sf)
-    return _rounded(B.finalized(B.bars(t, HOUR), _as_of(t) - 10_000), "vwap")
+    return _rounded(B.finalized(_bars(spark, sf, HOUR), last_event_ms(spark, sf) - 10_000), "vwap")
 
 
 def rollup_1d(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,6 +174,45 @@ def alert_for(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.alert(_gauge(spark, sf), F.col("value") < 3, 7200).select("series", "ts_s", "value", "pending", "firing")
 
 
+#: The rules of metrics.RULES with windows and durations sixty times as long, for samples an hour apart.
+SLOW_RULES = [metrics.Rule(r.name, r.metric, r.kind, r.limit, 60 * r.window_s, 60 * r.for_s, r.job, r.quantile, r.scale) for r in metrics.RULES]
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics made from hourly bars, one processor a symbol: whether it is up, how far behind it is, and how long its emissions took (cumulative buckets)."""
+    b = _bars(spark, sf, HOUR).select("symbol", F.expr("window_end_ms div 1000").alias("ts_s"), "trade_count", "volume")
+    n = F.col("trade_count")
+    job = F.when(F.col("symbol") == "VIEW", "ingest").otherwise("processor").alias("job")
+    none = F.lit(None).cast("double").alias("le")
+
+    def gauge(metric: str, value: Column) -> DataFrame:
+        return b.select(F.lit(metric).alias("metric"), job, F.col("symbol").alias("series"), none, "ts_s", value.cast("double").alias("value"))
+
+    les = F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.5, 5.0)], F.lit(float("inf")))).alias("le")
+    buckets = b.select("symbol", job, "ts_s", n.alias("n"), les)
+    # of the n emissions of an hour, n modulo 5 took over a second and the rest under half of one
+    own = F.when(F.col("le") >= 2.5, F.col("n")).otherwise(F.col("n") - F.pmod("n", F.lit(5)))
+    total = F.sum(own).over(Window.partitionBy("symbol", "le").orderBy("ts_s"))
+    counted = buckets.select(F.lit("window_emission_latency_seconds_bucket").alias("metric"), "job", F.col("symbol").alias("series"), "le", "ts_s", total.cast("double").alias("value"))
+    return (
+        gauge("up", F.when(n < 2, 0).otherwise(1))
+        .unionByName(gauge("processor_lag_seconds", n * 30))
+        .unionByName(gauge("processor_pipeline_freshness_seconds", n * 20))
+        .unionByName(counted)
+    )
+
+
+def alert_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule's value, and whether it is pending and firing, at every sample."""
+    return _rounded(metrics.evaluate_rules(_samples(spark, sf), SLOW_RULES), "value")
+
+
+def dlq_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Dead letters with the head of what came in."""
+    _, dead = parse.split(_messages(spark, sf).withColumn("value", F.concat(F.repeat(F.lit(" "), 1990), "value")), ingest_ms=F.lit(0))
+    return dead.select("error", F.length("raw").alias("raw_chars"), F.trim("raw").alias("raw")).groupBy("error", "raw_chars", "raw").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pipeline_health(spark: SparkSession, sf: str) -> DataFrame:
     """Per day: trades, distance between event and arrival (lag), its 95th percentile and late trades."""
     f = late.flagged(_arrived(spark, sf), "arrival_ms", 10_000, HOUR).withColumn("lag", F.col("arrival_ms") - F.col("event_time_ms"))
@@ -191,10 +235,12 @@ def archive_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder, shared if the cluster names one."""
+    """A new folder in the one that the cluster names for checkpoints; a temporary one on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named}/tidemark/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, own, True)
     return own
@@ -237,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_lineitem": dedup_lineitem,
     "latest_version_bars": latest_version_bars,
     "latest_bars": lambda s, d: _rounded(kpi.latest(_bars(s, d, HOUR)).select("symbol", "window_start_ms", "close", "vwap"), "vwap"),
-    "recent_count": lambda s, d: kpi.recent_count(_bars(s, d, MINUTE), _as_of(read_events(s, d)), DAY),
+    "recent_count": recent_count,
     "latest_checkpoint": lambda s, d: dedup.latest_row(read_events(s, d).select("agg_trade_id", "event_time_ms", "symbol"), "agg_trade_id"),
     "normalize_trades": normalize_trades,
     "dlq_trades": dlq_trades,
@@ -253,6 +299,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_quantile": metric_quantile,
     "metric_quantile_total": metric_quantile_total,
     "alert_for": alert_for,
+    "alert_rules": alert_rules,
+    "dlq_raw": dlq_raw,
     "stream_ohlcv_1h": stream_ohlcv_1h,
     "stream_ohlcv_multi": stream_ohlcv_multi,
 }
@@ -296,6 +344,26 @@ w AS (SELECT k, le, n, coalesce(lag(n) OVER (PARTITION BY k ORDER BY le), 0) AS
 SELECT k AS {source}, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (n - below) END, 9) AS quantile FROM w WHERE n >= rank AND below < rank"""
 
 
+def _rules() -> str:
+    """The slow rules in SQL: window functions over the made samples, unnested runs and all."""
+    w = lambda r: f"OVER (PARTITION BY series ORDER BY ts_s RANGE BETWEEN {r.window_s - 1} PRECEDING AND CURRENT ROW)"
+    up, lag, fresh, slow = SLOW_RULES
+    return f"""{_H}, g AS (SELECT symbol AS series, CASE WHEN symbol = 'VIEW' THEN 'ingest' ELSE 'processor' END AS job, window_end_ms // 1000 AS ts_s, trade_count AS n FROM b),
+les AS (SELECT * FROM (VALUES (0.5), (1.0), (2.5), (5.0), (CAST('inf' AS DOUBLE))) AS x(le)),
+c AS (SELECT series, le, ts_s, CAST(sum(CASE WHEN le >= 2.5 THEN n ELSE n - n % 5 END) OVER (PARTITION BY series, le ORDER BY ts_s) AS DOUBLE) AS v FROM g, les),
+d AS (SELECT series, le, ts_s, CASE WHEN lag(v) OVER s IS NULL THEN 0.0 WHEN v < lag(v) OVER s THEN v ELSE v - lag(v) OVER s END AS step FROM c WINDOW s AS (PARTITION BY series, le ORDER BY ts_s)),
+i AS (SELECT series, le, ts_s, (sum(step) OVER w - first_value(step) OVER w) / {slow.window_s} AS rate FROM d WINDOW w AS (PARTITION BY series, le ORDER BY ts_s RANGE BETWEEN {slow.window_s - 1} PRECEDING AND CURRENT ROW)),
+q AS (SELECT series, ts_s, le, rate, coalesce(lag(rate) OVER o, 0) AS below, coalesce(lag(le) OVER o, 0.0) AS low, {slow.quantile} * max(rate) OVER (PARTITION BY series, ts_s) AS rank FROM i WINDOW o AS (PARTITION BY series, ts_s ORDER BY le)),
+v AS (
+  SELECT '{up.name}' AS alertname, series, ts_s, CAST(CASE WHEN n < 2 THEN 0 ELSE 1 END AS DOUBLE) AS value, n < 2 AS pending, {up.for_s} AS need FROM g WHERE job = 'processor'
+  UNION ALL SELECT '{lag.name}', series, ts_s, max(n * 30.0) {w(lag)} AS value, max(n * 30.0) {w(lag)} > {lag.limit}, {lag.for_s} FROM g
+  UNION ALL SELECT '{fresh.name}', series, ts_s, max(n * 20.0) {w(fresh)} AS value, max(n * 20.0) {w(fresh)} > {fresh.limit}, {fresh.for_s} FROM g
+  UNION ALL SELECT '{slow.name}', series, ts_s, {slow.scale} * x AS value, {slow.scale} * x > {slow.limit}, {slow.for_s}
+    FROM (SELECT series, ts_s, CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (rate - below) END AS x FROM q WHERE rate >= rank AND below < rank)),
+r AS (SELECT *, sum(CASE WHEN pending THEN 0 ELSE 1 END) OVER (PARTITION BY alertname, series ORDER BY ts_s) AS run FROM v)
+SELECT alertname, series, ts_s, round(CAST(value AS DOUBLE), 9) AS value, pending, pending AND ts_s - min(ts_s) FILTER (WHERE pending) OVER (PARTITION BY alertname, series, run) >= need AS firing FROM r"""
+
+
 SQL: dict[str, str] = {
     "ohlcv_1m": f"WITH {_T}, {_b('b', MINUTE)} SELECT {_BAR} FROM b",
     "ohlcv_1h": f"{_H} SELECT {_BAR} FROM b",
@@ -332,6 +400,10 @@ SQL: dict[str, str] = {
     "metric_quantile": _quantile("symbol", "symbol"),
     "metric_quantile_total": _quantile("series", "'all'"),
     "alert_for": f"{_GAUGE}, r AS (SELECT *, value < 3 AS pending, sum(CASE WHEN value < 3 THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY ts_s) AS run FROM s) SELECT series, ts_s, value, pending, pending AND ts_s - min(ts_s) FILTER (WHERE pending) OVER (PARTITION BY series, run) >= 7200 AS firing FROM r",
+    "alert_rules": _rules(),
+    "dlq_raw": f"""WITH {_T}, {_MSG}
+SELECT error, CAST(1990 + length(head) AS INTEGER) AS raw_chars, head AS raw, count(*) AS n FROM (
+  SELECT m.error, CASE WHEN id % 23 = 0 THEN substr('broken ' || id, 1, 10) WHEN id % 3 = 0 THEN substr('{{"E":"' || ms, 1, 10) ELSE '{{"stream":' END AS head FROM m WHERE error IS NOT NULL) GROUP BY ALL""",
     "stream_ohlcv_1h": f"{_H} SELECT {_BAR} FROM b WHERE window_end_ms <= (SELECT ms FROM now) - 10000",
     "stream_ohlcv_multi": f"WITH {_T}, {_b('b1', HOUR)}, {_b('b2', DAY)} SELECT {_BAR} FROM (FROM b1 UNION ALL FROM b2) WHERE window_end_ms <= (SELECT ms FROM now) - 10000",
 }

@@ -24,6 +24,11 @@ def ensure_folder(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def append_bars(spark: SparkSession, bars: DataFrame, database: str = "tidemark") -> None:
+    """Add bars to the table of ensure_tables(), each under the date of its window."""
+    bars.select(*[f.name for f in spark.table(f"{database}.bars").schema if f.name != "dt"], F.timestamp_millis("window_start_ms").cast("date").alias("dt")).write.mode("append").insertInto(f"{database}.bars")
+
+
 def ensure_tables(spark: SparkSession, database: str = "tidemark") -> None:
     """Create the database and its tables where they are missing."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
@@ -54,10 +59,13 @@ def read_bars(spark: SparkSession, path: str, first_day: str | None = None) -> D
 
 
 def to_mart(bars: DataFrame, emitted_at: Column, batch: int = 0, late: DataFrame | None = None) -> DataFrame:
-    """Bars with late counts and a version that grows with emission, so that a correction replaces what it corrects."""
+    """Bars with late counts and a version that grows with emission, so that a correction replaces what it corrects.
+
+    `batch` tells emissions of one millisecond apart, up to the 999th.
+    """
     out = bars.join(late, list(BAR_KEY), "left") if late is not None else bars.withColumn("late_event_count", F.lit(None).cast("long"))
     return out.withColumn("late_event_count", F.coalesce("late_event_count", F.lit(0)).cast("long")).withColumn("emitted_at", emitted_at).withColumn(
-        "result_version", F.unix_millis("emitted_at") * 1000 + F.lit(batch % 1000)
+        "result_version", F.unix_millis("emitted_at") * 1000 + F.lit(min(batch, 999))
     )
 
 
@@ -80,8 +88,10 @@ def parquet_files(spark: SparkSession, path: str, limit: int | None = None) -> l
 
 def replay(spark: SparkSession, path: str, limit_files: int | None = None) -> DataFrame:
     """Rows of an archive as JSON messages, from all files or the first few."""
-    files = parquet_files(spark, path, limit_files)
-    rows = spark.read.option("basePath", path).parquet(*files)
+    if limit_files is None:
+        rows = spark.read.parquet(path)
+    else:
+        rows = spark.read.option("basePath", path).parquet(*parquet_files(spark, path, limit_files))
     return rows.select(F.lit(None).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
 
 

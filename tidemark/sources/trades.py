@@ -22,8 +22,19 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def read_events(spark: SparkSession, sf_dir: str, first_ms: Column | int | None = None) -> DataFrame:
+    """All trades, or those from a time on: that filter is on the stored column, so the scan can skip row groups."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if first_ms is not None:
+        first = F.lit(first_ms) if isinstance(first_ms, int) else first_ms
+        events = events.where(F.col("ts") >= F.timestamp_millis(first).cast(events.schema["ts"].dataType))
+    return from_events(events)
+
+
+def last_event_ms(spark: SparkSession, sf_dir: str) -> Column:
+    """The time of the last event, as a scalar column: it is found when the query that uses it runs."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.expr("unix_micros(cast(max(ts) as timestamp)) div 1000").alias("ms"))
+    return F.coalesce(last.scalar(), F.lit(0).cast("long"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
