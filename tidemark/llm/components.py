@@ -8,10 +8,48 @@ are plain exchanges, which lets adaptive execution split a hub's edges over many
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import release, stored
+from tidemark.llm._shared import release, ship, stored
+
+#: Edges that one task contracts at a time.
+CHUNK = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars around the least nodes instead of the edges of a chunk: the same components, in fewer steps of the rounds."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
+
+    def stars() -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = np.split(at, 2)
+        root = np.arange(len(node))
+        while True:
+            before = root.copy()
+            np.minimum.at(root, i, before[j])
+            np.minimum.at(root, j, before[i])
+            np.minimum.at(root, before, root.copy())
+            root = root[root]
+            if (root == before).all():
+                break
+        own = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["u", "v"])
+
+    for batch in batches:
+        held.append((np.asarray(batch.column("u")), np.asarray(batch.column("v"))))
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield stars()
+            held, rows = [], 0
+    if held:
+        yield stars()
 
 
 def _settled(e: DataFrame) -> bool:
@@ -26,12 +64,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Nodes are longs. Loops and repeated edges are allowed; edges with a null end count as absent. No edges give no rows.
     """
-    e = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct(),
-        "edges",
-    )
+    ship(edges.sparkSession)
+    first = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    e = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     while not _settled(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
