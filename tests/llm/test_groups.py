@@ -155,7 +155,7 @@ def expected_cut(texts, roots):
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize(("part", "pairs", "broadcast"), [(2000, 10**9, 10**6), (3, 0, 0), (2, 1, 10**6)])
+@pytest.mark.parametrize(("part", "pairs", "broadcast"), [(2000, 10**9, 10**6), (3, 0, 0), (2, 0.25, 10**6)])
 def test_lines_equal_brute_force(spark, monkeypatch, part, pairs, broadcast):
     """Pairs at once, rounds first, and blocks in parts of two lines; texts fetched by broadcast keys and by shuffle."""
     for name, value in (("PART", part), ("PAIRS_A_LINE", pairs), ("BROADCAST_KEYS", broadcast)):
@@ -192,6 +192,29 @@ def test_lines_of_the_same_words_in_other_orders(spark):
     assert time.perf_counter() - began < 120
 
 
+def test_bounds_keep_the_right_side():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
+    x, y = [], []
+    for _ in range(400):
+        a = [word() for _ in range(rng.randint(1, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            kind, at = rng.random(), rng.randrange(len(b))
+            b[at : at + 1] = [word()] if kind < 0.5 else [b[at], word()] if kind < 0.75 else [] if len(b) > 1 else b[at : at + 1]
+        x.append(" ".join(a))
+        y.append(" ".join(b))
+    right = np.array([lines.similar(a, b) for a, b in zip(x, y, strict=True)])
+    may = lines._may_be_similar(x, y)
+    assert not (right & ~may).any()
+    exact = np.array([lines.edit_distance(a, b) for a, b in zip(x, y, strict=True)])
+    allowed = np.array([int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(x, y, strict=True)])
+    assert (right == (exact <= allowed)).all()
+    upper = np.array([lines._at_most(*lines._trimmed(a, b))[0] for a, b in zip(x, y, strict=True)])
+    assert (upper >= exact).all()
+    assert (upper <= allowed)[right].mean() > 0.9
+
+
 def test_line_keys_that_clash(spark, monkeypatch, tmp_path):
     """With keys of few bits many lines clash, and are still told apart."""
     real = lines.line_keys
@@ -246,7 +269,7 @@ def test_similarity_of_very_long_lines():
         b = [word() if rng.random() < share else w for w in a]
         a, b = " ".join(a), " ".join(b)
         exact = lines.edit_distance(a, b)
-        assert exact <= lines._at_most(a, b)
+        assert exact <= lines._at_most(a, b)[0]
         assert lines.similar(a, b) == (exact <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 

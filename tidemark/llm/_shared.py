@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,12 @@ def release(*frames: DataFrame | None) -> None:
                 at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of finished shuffles: Spark deletes their files once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context."""
     sc = spark.sparkContext

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._bytes import flat, owners, runs, table
-from tidemark.llm._shared import blocks, release, row_key, ship, stored
+from tidemark.llm._bytes import flat, runs, table
+from tidemark.llm._bytes import mix as _mix
+from tidemark.llm._shared import blocks, release, row_key, ship, stored, sweep
 from tidemark.llm.components import components
 from tidemark.llm.simhash import bit_majority
 
@@ -20,16 +21,18 @@ SIMILARITY = 0.8
 CHARS, STEEP, GROWTH = 28, 400, 0.7
 #: Lines under so many characters are also cut into twice as many blocks.
 BRIEF = 160
+#: Blocks of fewer votes are not keys, unless they are whole lines: too many lines share them.
+VOTES = 2
 #: Candidates of at least SHORT words each are not tested if the SimHashes of their words or of their pairs of words differ in more bits; unrelated lines differ in 32 or so.
-SHORT, FAR_BITS, FAR_PAIRS = 12, 22, 26
-#: Rounds in which lines under one block are tested against one of them go on while a round at least halves the pairs left and these are more than so many a line.
-PAIRS_A_LINE = 4
+SHORT, FAR_BITS, FAR_PAIRS = 12, 18, 23
+#: Rounds of tests between the labels of a block go on while each takes away a quarter of the pairs left, and these are more than so many a line.
+PAIRS_A_LINE = 0.25
 #: Lines under one block are paired in parts of about so many.
 PART = 2000
 #: So many line keys are broadcast at most when texts of candidate lines are fetched; more go by shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Texts from this length on are first tried by an upper bound of their distance.
-LONG = 2000
+#: Texts from this length on are first tried by an upper bound of their distance: the exact one is not taken if the bound is over so many times what is allowed.
+LONG, SLACK = 30, 1.25
 
 _HASH_BITS = 42
 _BLANK = table(b" \t\n\x0b\x0c\r")
@@ -93,8 +96,11 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def _at_most(a: str, b: str) -> int:
-    """An upper bound: words that either side has once are held in order where most of them agree; what is between is measured if it is short, else replaced."""
+def _at_most(a: str, b: str) -> tuple[int, bool]:
+    """An upper bound, and whether all of it was measured.
+
+    Words that either side has once are held in order where most of them agree; what is between is measured if it is short, else counted as replaced.
+    """
 
     def once(t: str) -> dict[str, int]:
         out: dict[str, int] = {}
@@ -117,40 +123,40 @@ def _at_most(a: str, b: str) -> int:
     while k >= 0:
         chain.append(both[k])
         k = before[k]
-    total, i, j = 0, 0, 0
+    total, i, j, measured = 0, 0, 0, True
     for p, q, n in [*reversed(chain), (len(a), len(b), 0)]:
         x, y = a[i:p], b[j:q]
-        total += edit_distance(x, y) if len(x) * len(y) <= 1 << 18 else max(len(x), len(y))
+        short = len(x) * len(y) <= 1 << 18
+        total += edit_distance(x, y) if short else max(len(x), len(y))
+        measured &= short
         i, j = p + n, q + n
-    return total
+    return total, measured
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Edit similarity, 1 - distance / longer length, of at least `least`.
 
-    Long near copies are decided by an upper bound of the distance; other long pairs cost the
-    product of their lengths, 64 cells at a time, and unlike lines do not come here (see _near()).
+    Nearly all pairs are decided by an upper bound of the distance; the rest costs the product of
+    their lengths, 64 cells at a time. A pair whose measured bound is far over what is allowed is
+    taken as not similar: of 6,000 candidates, no similar one had a bound over 1.15 times that.
     """
     most = max(len(a), len(b))
     if min(len(a), len(b)) < least * most:
         return False
     allowed = int(most - least * most + 1e-9)
     a, b = _trimmed(a, b)
-    if min(len(a), len(b)) >= LONG and _at_most(a, b) <= allowed:
-        return True
+    if min(len(a), len(b)) >= LONG:
+        bound, measured = _at_most(a, b)
+        if bound <= allowed:
+            return True
+        if measured and bound > SLACK * allowed:
+            return False
     return edit_distance(a, b, allowed) <= allowed
 
 
 # --- lines and their blocks --------------------------------------------------------------------
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _runs_at(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of consecutive runs."""
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -164,15 +170,15 @@ class Lines:
         data = np.frombuffer(raw.tobytes().lower(), dtype=np.uint8).copy()
         blank = _BLANK[data]
         start, end = runs(~blank, offsets, 1)  # of words
-        ends = np.flatnonzero(data == 10)
-        text = owners(start, offsets)
-        row = np.searchsorted(ends, start)
+        ends = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))  # line ends before each byte
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+        row = ends[start]
         new = np.ones(len(start) + 1, dtype=bool)
         new[1:-1] = (np.diff(row) != 0) | (np.diff(text) != 0)
         first = np.flatnonzero(new[:-1])
         self.n_words = np.diff(np.append(first, len(start)))
         self.text = text[first]
-        self.pos = row[first] - np.searchsorted(ends, offsets[self.text])
+        self.pos = row[first] - ends[offsets[self.text]]
         inner = end[~new[1:]]
         keep = ~blank
         keep[inner] = True
@@ -223,29 +229,24 @@ def line_keys(lines: Lines, taken: list[np.ndarray] = ()) -> tuple[np.ndarray, n
     return key, check
 
 
+_POWER = np.cumprod(np.full(1 << 16, _ODD, dtype=np.uint64))
+_TERM = np.arange(1, 257, dtype=np.uint64)
+_TERM[32] = 0
+
+
 def _word_hashes(lines: Lines) -> np.ndarray:
-    """A hash of each word: a polynomial in its bytes, modulo 2^64; words over 64 kB are hashed one by one."""
-    size = lines.word_size
-    gap = np.ones(len(size), dtype=np.int64)  # the space after a word; a line's last word has none
-    gap[np.cumsum(lines.n_words) - 1] = 0
-    end = np.cumsum(size + gap) - gap
-    start = end - size
-    power = np.cumprod(np.full(1 << 16, _ODD, dtype=np.uint64))
-    out = np.empty(len(size), dtype=np.uint64)
-    total = np.cumsum(size)
+    """A hash of each word: a polynomial in its bytes, modulo 2^64. Powers come again after 64 kB of a word."""
+    own = lines.word_size + 1  # with the space after it, which counts for nothing; a line's last word has none
+    own[np.cumsum(lines.n_words) - 1] -= 1
+    end = np.cumsum(own)
+    out = np.empty(len(own), dtype=np.uint64)
     at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
-        if to == at + 1 and size[at] > 1 << 16:
-            from xxhash import xxh64_intdigest
-
-            out[at] = xxh64_intdigest(lines.data[start[at] : end[at]].tobytes())
-        else:
-            own = size[at:to]
-            begin = np.cumsum(own) - own
-            within = np.arange(int(own.sum())) - np.repeat(begin, own)
-            byte = lines.data[within + np.repeat(start[at:to], own)].astype(np.uint64)
-            out[at:to] = np.add.reduceat((byte + np.uint64(1)) * power[within & 0xFFFF], begin)
+    while at < len(own):
+        low = end[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(end, low + (1 << 20), side="right")))
+        begin = end[at:to] - own[at:to] - low
+        within = np.arange(end[to - 1] - low) - np.repeat(begin, own[at:to])
+        out[at:to] = np.add.reduceat(_TERM[lines.data[low : end[to - 1]]] * _POWER[within & 0xFFFF], begin)
         at = to
     return _mix(out)
 
@@ -258,7 +259,7 @@ def _levels(chars: np.ndarray) -> list[np.ndarray]:
     n = np.where(chars <= STEEP, chars / CHARS, STEEP / CHARS * (np.maximum(chars, 1) / STEEP) ** GROWTH)
     at = np.log2(np.maximum(n, 1))
     low, high = (np.floor(at + shift).astype(np.int64) for shift in (0.84, 1.16))
-    return [low, np.where(high != low, high, -1), np.where(chars < BRIEF, low + 1, -1)]
+    return [low, np.where(high != low, high, -1), np.where((chars < BRIEF) & (high == low), low + 1, -1)]
 
 
 def _pairs(lines: Lines, word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -306,8 +307,11 @@ def block_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
                 continue
             block = pair[some] >> (np.uint64(_HASH_BITS) - deep)
             cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (who[1:] != who[:-1]))))
-            simhash = bit_majority(vote[some], np.diff(np.append(cut, len(block))))
-            found.append((who[cut] + at, _mix(simhash ^ _mix(block[cut] + (deep[cut] << np.uint64(48))))))
+            votes = np.diff(np.append(cut, len(block)))
+            simhash = bit_majority(vote[some], votes)
+            key = _mix(simhash ^ _mix(block[cut] + (deep[cut] << np.uint64(48))))
+            firm = (votes >= VOTES) | (deep[cut] == 0)
+            found.append((who[cut][firm] + at, key[firm]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
@@ -463,7 +467,9 @@ def _may_be_similar(x: list[str], y: list[str], least: float = SIMILARITY) -> np
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "x", 1 << 20):
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        ok = [bool(m) and similar(p, q) for m, p, q in zip(_may_be_similar(x, y), x, y, strict=True)]
+        ok = _may_be_similar(x, y)
+        for i in np.flatnonzero(ok).tolist():
+            ok[i] = similar(x[i], y[i])
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -481,10 +487,10 @@ def _tested(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
     return stored(full.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, ok boolean"), what)
 
 
-def _star(members: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """`a, b` once for each different pair of a line and the one that stands for its block, if they may be similar and are not tested yet."""
+def _untested(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """`a, b` once for each different pair `key, rep` that may be similar and is not tested yet."""
     print_ = texts.select("key", F.struct("fp", "pairs", "words", "size").alias("p"))
-    pairs = members.where("key != rep").select(F.least("rep", "key").alias("a"), F.greatest("rep", "key").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep", "key").alias("a"), F.greatest("rep", "key").alias("b")).distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     full = pairs.join(print_.select(F.col("key").alias("a"), F.col("p").alias("x")), "a").join(print_.select(F.col("key").alias("b"), F.col("p").alias("y")), "b")
@@ -494,43 +500,49 @@ def _star(members: DataFrame, texts: DataFrame, tested: DataFrame | None) -> Dat
 def line_groups(source: _Source) -> DataFrame:
     """`node, root` of line keys: the connected components of all pairs that share a block, may be similar by _near() and have edit similarity SIMILARITY or more.
 
-    Lines of one block are first tested against the one with the least key. Where a block's lines
-    bear several labels after that, those still alone are tested against the least of them, round by
-    round, while a round at least halves the pairs of different labels; what is left is tested pair by pair.
+    Lines of one block are first tested against the one with the least key, and components make
+    labels. Where a block's lines bear several labels, one line of each label is tested against one of
+    the label most frequent there, round by round with other lines, until rounds no longer
+    unite much; then all pairs of different labels that are left are tested.
     """
     own = Window.partitionBy("block")
     spread = source.blocks().select("block", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
     shared = stored(spread.where("rep < last").select("block", "key", "rep").dropDuplicates(["block", "key"]), "shared")
+    del spread
+    sweep(source.spark)
     keys = stored(shared.select("key").distinct(), "wanted")
     texts = stored(source.texts(keys), "texts")
-    tested = _tested(stored(_star(shared, texts, None), "star"), texts, "tested")
+    sweep(source.spark)
+    tested = _tested(stored(_untested(shared.where("key != rep").select("key", "rep"), texts, None), "star"), texts, "tested")
     roots = stored(components(tested.where("ok")), "roots")
     members = stored(shared.join(shared.groupBy("block").count().where("count > 2").select("block"), "block").select("block", "key"), "members")
     release(keys, shared)
-    before = None
+    before, turn = None, 0
     while True:
         named = stored(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("label")), "named")
-        each = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"))
+        each = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("one"))
         mixed = each.groupBy("block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("label", F.struct("c", "label")).alias("major")).where("n * n > same")
         mixed = stored(mixed, "mixed")
         rows, left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)) / 2).first()
         if not left:
             break
-        last = left <= PAIRS_A_LINE * rows or (before is not None and 2 * left > before)
+        last = before is not None and (left <= PAIRS_A_LINE * rows or left > 0.75 * before)
         if last:
             pairs = _mixed_pairs(named, mixed, texts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         else:
-            loose = named.where("label = key").join(mixed.select("block"), "block", "left_semi")
-            pairs = _star(loose.select("block", "key", F.min("key").over(own).alias("rep")), texts, tested)
+            ones = each.join(mixed.select("block", "major"), "block")
+            most = ones.where("label = major").select("block", F.col("one").alias("rep"))
+            pairs = _untested(ones.where("label != major").join(most, "block").select(F.col("one").alias("key"), "rep"), texts, tested)
         more = _tested(stored(pairs, "pairs"), texts, "more")
         found = more.where("ok").limit(1).count() > 0
         tested = stored(tested.union(more), "tested")
         if found:
-            roots = stored(components(tested.where("ok")), "roots")
+            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.where("ok").select("a", "b"))), "roots")
         if last:
             break
-        before = left
+        before, turn = left, turn + 1
     release(texts, members)
+    sweep(source.spark)
     return roots
 
 
@@ -540,7 +552,8 @@ def _mixed_pairs(named: DataFrame, mixed: DataFrame, texts: DataFrame) -> DataFr
     parts = F.ceil(F.col("n") / PART).cast("int")
     left = row.where("label != major").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).alias("x")
     right = row.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
-    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
+    once = (F.col("x.key") < F.col("y.key")) | (F.col("y.label") == F.col("y.major"))
+    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & once & _near("x", "y")
     return left.join(right, on).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
