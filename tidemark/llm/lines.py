@@ -392,8 +392,7 @@ def _texts_of(taken: list[np.ndarray], wanted: np.ndarray | None):
             if wanted is None:
                 new = unseen(signed)
             else:
-                at = np.minimum(np.searchsorted(wanted.value, signed), max(0, len(wanted.value) - 1))
-                new = wanted.value[at] == signed
+                new = np.isin(signed, wanted.value)
                 new[new] = unseen(signed[new])
             if new.any():
                 some = lines.take(np.flatnonzero(new))
