@@ -14,7 +14,7 @@ from tidemark.llm._sample import spread
 from tidemark.llm._shared import blocks, crc_part, ship
 
 #: The training sample: at most so many trusted positives, and so many unlabelled documents.
-SAMPLE, UNLABELLED = 4096, 8192
+SAMPLE, UNLABELLED = 4096, 4096
 THRESHOLD = 0.7
 
 #: Classes of bytes whose pairs are counted: letters, digits, blanks, line ends, single marks, other marks, the two kinds of bytes over 127.
