@@ -61,6 +61,19 @@ def test_links_of_two_bits(spark, hot):
     assert want
 
 
+@pytest.mark.parametrize("hot", [10_000, 0])
+def test_links_do_not_broadcast_exploded_rows(spark, hot):
+    """Their size is estimated as before the explosion: 33 rows of each fingerprint went to the driver."""
+    found = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")), hot)
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    joins = [i for i, x in enumerate(plan) if "BroadcastHashJoin" in x and "LeftAnti" not in x]
+    assert any("SortMergeJoin" in x for x in plan)
+    for i in joins:
+        below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+        assert not any("Generate" in x for x in plan[i + 1 : below])
+
+
 def test_simhash_odd_rows(odd, none, same_ids):
     out = simhash.near_duplicates(odd)
     same_ids(out)

@@ -152,6 +152,8 @@ def links(distinct: DataFrame, hot_half: int = HOT_HALF) -> DataFrame:
     the other half may differ in one. The join's condition tests this, so that only links leave it.
     A half shared by over `hot_half` fingerprints is left out of the join; there the 1584
     fingerprints that would link are listed for each and looked up, which finds the same links.
+    Neither join may broadcast: Spark takes exploded rows for as few as they were before, and
+    the driver would hold 33 rows a fingerprint.
     """
     fp = F.col("fp")
     halves = [
@@ -180,7 +182,7 @@ def links(distinct: DataFrame, hot_half: int = HOT_HALF) -> DataFrame:
         same_side = _bits(_half(lf, s), _half(rf, s))
         found.append(
             left.join(
-                right,
+                right.hint("merge"),
                 (F.col("l.key") == F.col("r.key")) & (lf < rf) & (_bits(lf, rf) <= 2) & ((wild & (same_side == 1)) | (~wild & (same_side == 0))),
             ).select(lf.alias("a"), rf.alias("b"))
         )
@@ -195,7 +197,7 @@ def links(distinct: DataFrame, hot_half: int = HOT_HALF) -> DataFrame:
                 .join(hot.where(F.col("side") == s).select("half"), "half")
                 .select(fp.alias("a"), F.explode(F.transform(F.lit(signed), lambda m: F.col("fp").bitwiseXOR(m))).alias("b"))
             )
-            found.append(listed.join(distinct.select(fp.alias("b")), "b").select("a", "b"))
+            found.append(listed.join(distinct.select(fp.alias("b")).hint("merge"), "b").select("a", "b"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
