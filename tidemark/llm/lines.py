@@ -502,7 +502,7 @@ def line_groups(source: _Source) -> DataFrame:
     Lines of one block are first tested against the one with the least key, and components make
     labels. Where a block's lines bear several labels, one line of each label is tested against one of
     the label most frequent there, round by round with other lines, until rounds no longer
-    unite much; then all pairs of different labels that are left are tested.
+    unite much; then all pairs of different labels that are left are tested, in cells.
     """
     own = Window.partitionBy("block")
     spread = source.blocks().select("block", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
@@ -520,40 +520,127 @@ def line_groups(source: _Source) -> DataFrame:
     while True:
         named = stored(members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("label")), "named")
         each = named.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("one"))
-        mixed = each.groupBy("block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("label", F.struct("c", "label")).alias("major")).where("n * n > same")
+        mixed = each.groupBy("block").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("top")).where("n * n > same")
         mixed = stored(mixed, "mixed")
         rows, left = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)) / 2).first()
         if not left:
             break
         last = before is not None and (left <= PAIRS_A_LINE * rows or left > 0.75 * before)
         if last:
-            pairs = _mixed_pairs(named, mixed, texts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        else:
-            ones = each.join(mixed.select("block", "major"), "block")
-            most = ones.where("label = major").select("block", F.col("one").alias("rep"))
-            pairs = _untested(ones.where("label != major").join(most, "block").select(F.col("one").alias("key"), "rep"), texts, tested)
+            more = stored(_mixed_links(named, mixed, texts), "more")
+            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+            break
+        ones = each.join(mixed.select("block", "major"), "block")
+        most = ones.where("label = major").select("block", F.col("one").alias("rep"))
+        pairs = _untested(ones.where("label != major").join(most, "block").select(F.col("one").alias("key"), "rep"), texts, tested)
         more = _tested(stored(pairs, "pairs"), texts, "more")
-        found = more.where("ok").limit(1).count() > 0
-        tested = stored(tested.union(more), "tested")
-        if found:
+        if more.where("ok").limit(1).count() > 0:
             roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.where("ok").select("a", "b"))), "roots")
-        if last:
-            break
+        tested = stored(tested.union(more), "tested")
         before, turn = left, turn + 1
     release(texts, members)
     sweep(source.spark)
     return roots
 
 
-def _mixed_pairs(named: DataFrame, mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """`a, b` once for each pair of lines that share a block, bear different labels and may be similar. Blocks are dealt out in parts of bounded size."""
-    row = named.join(mixed.select("block", "n", "major"), "block").join(texts.select("key", "fp", "pairs", "words", "size"), "key")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    left = row.where("label != major").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).alias("x")
-    right = row.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
-    once = (F.col("x.key") < F.col("y.key")) | (F.col("y.label") == F.col("y.major"))
-    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & once & _near("x", "y")
-    return left.join(right, on).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+_CELL = ["key", "label", "left", "top", "fp", "pairs", "words", "size"]
+
+
+def _links_in(block: int, rows: pa.Table) -> Iterator[tuple[int, int]]:
+    """Links between lines of different labels in one cell, without those that others found here imply.
+
+    A line on the left meets those on the right; top marks the lines of the block's most frequent label.
+    """
+    col = {c: np.asarray(rows.column(c).combine_chunks()) for c in _CELL if c not in ("left", "top")}
+    left, top = (np.asarray(rows.column(c).cast(pa.int8()).combine_chunks()).astype(bool) for c in ("left", "top"))
+    col["fp"], col["pairs"] = col["fp"].view(np.uint64), col["pairs"].view(np.uint64)
+    on_left, on_right = np.flatnonzero(left), np.flatnonzero(~left)
+    line, also = rows.column("line").combine_chunks(), rows.column("also").combine_chunks()
+    text: dict[int, str] = {}
+    near: dict[int, frozenset[int]] = {}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for cut in range(0, len(on_left), 256):
+        i, j = on_left[cut : cut + 256, None], on_right[None, :]
+        ok = (col["label"][i] != col["label"][j]) & ((col["key"][i] < col["key"][j]) | top[j])
+        ok &= np.minimum(col["size"][i], col["size"][j]) >= SIMILARITY * np.maximum(col["size"][i], col["size"][j])
+        x, y = np.nonzero(ok)
+        x, y = on_left[cut + x], on_right[y]
+        bits, order = (np.bitwise_count(col[c][x] ^ col[c][y]) for c in ("fp", "pairs"))
+        close = (np.minimum(col["words"][x], col["words"][y]) < SHORT) | ((bits <= FAR_BITS) & (order <= FAR_PAIRS))
+        x, y = x[close], y[close]
+        first = np.argsort((bits + order)[close], kind="stable")  # the likeliest links first
+        for at in range(0, len(first), 1 << 12):
+            some = first[at : at + (1 << 12)]
+            pairs = []
+            for p, q in zip(x[some].tolist(), y[some].tolist(), strict=True):
+                if find(int(col["label"][p])) == find(int(col["label"][q])):
+                    continue
+                for r in (p, q):
+                    if r not in text:
+                        text[r], near[r] = line[r].as_py(), frozenset(also[r].as_py())
+                if min(near[p] & near[q]) == block:  # of the blocks they share, one tests them
+                    pairs.append((p, q))
+            if not pairs:
+                continue
+            may = _may_be_similar([text[p] for p, _ in pairs], [text[q] for _, q in pairs])
+            for k in np.flatnonzero(may).tolist():
+                p, q = pairs[k]
+                a, b = find(int(col["label"][p])), find(int(col["label"][q]))
+                if a != b and similar(text[p], text[q]):
+                    root[a] = b
+                    yield int(col["key"][p]), int(col["key"][q])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each cell; its rows come one after another."""
+    held: list[pa.RecordBatch] = []
+    cell = None
+
+    def links() -> Iterator[pa.RecordBatch]:
+        found = list(_links_in(cell[0], pa.Table.from_batches(held)))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "i", "j")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            own = tuple(at[:, begin].tolist())
+            if own != cell:
+                if held:
+                    yield from links()
+                cell, held = own, []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield from links()
+
+
+def _mixed_links(named: DataFrame, mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """`a, b`: links that unite all labels which any pair of similar lines in a block would unite.
+
+    A block's lines are dealt out in cells of bounded size, in which every pair of lines that bear different
+    labels and may be similar is tested, unless links found there have united the labels. No pairs are written.
+    """
+    row = named.join(mixed.select("block", "n", "major", "top"), "block")
+    also = row.groupBy("key").agg(F.collect_set("block").alias("also"))
+    row = row.join(texts.select("key", "fp", "pairs", "words", "size", "line").join(also.hint("merge"), "key").hint("merge"), "key")
+    lefts, rights = (F.ceil(n / PART).cast("int") for n in (F.col("n") - F.col("top"), F.col("n")))
+    i, j = (F.pmod(F.xxhash64("key", F.lit(side)), n).cast("int") for side, n in ((0, lefts), (1, rights)))
+    as_left = F.when(F.col("label") != F.col("major"), F.transform(F.sequence(F.lit(0), rights - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("left"))))
+    as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("left")))
+    dealt = row.withColumn("at", F.explode(F.concat(F.coalesce(as_left, F.array().cast("array<struct<i:int,j:int,left:boolean>>")), as_right)))
+    dealt = dealt.select("block", "at.i", "at.j", "key", "label", "at.left", (F.col("label") == F.col("major")).alias("top"), "fp", "pairs", "words", "size", "also", "line")
+    return dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_cells, "a long, b long")
 
 
 # --- what stays --------------------------------------------------------------------------------
