@@ -543,22 +543,27 @@ def line_groups(source: _Source) -> DataFrame:
     return roots
 
 
-_CELL = ["key", "label", "left", "top", "fp", "pairs", "words", "size"]
+#: Cells are taken together until they have so many rows, and pairs of rows until there are so many.
+CELL_ROWS, CELL_PAIRS = 4096, 1 << 19
 
 
-def _links_in(block: int, rows: pa.Table) -> Iterator[tuple[int, int]]:
-    """Links between lines of different labels in one cell, without those that others found here imply.
+def _links_in(rows: pa.Table, root: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links between lines of different labels in whole cells, without those that others found in the task imply.
 
-    A line on the left meets those on the right; top marks the lines of the block's most frequent label.
+    A line on the left meets those on the right; top marks the lines of the block's most frequent label. root: the labels united so far.
     """
-    col = {c: np.asarray(rows.column(c).combine_chunks()) for c in _CELL if c not in ("left", "top")}
+    col = {c: np.asarray(rows.column(c).combine_chunks()) for c in ("block", "i", "j", "key", "label", "fp", "pairs", "words", "size")}
     left, top = (np.asarray(rows.column(c).cast(pa.int8()).combine_chunks()).astype(bool) for c in ("left", "top"))
-    col["fp"], col["pairs"] = col["fp"].view(np.uint64), col["pairs"].view(np.uint64)
+    new = np.concatenate(([True], (np.diff(col["block"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)))
+    cell = np.cumsum(new) - 1
     on_left, on_right = np.flatnonzero(left), np.flatnonzero(~left)
+    many = np.bincount(cell[on_right], minlength=cell[-1] + 1)
+    start = np.cumsum(many) - many
+    meets = many[cell[on_left]]
+    total = np.cumsum(meets)
     line, also = rows.column("line").combine_chunks(), rows.column("also").combine_chunks()
     text: dict[int, str] = {}
     near: dict[int, frozenset[int]] = {}
-    root: dict[int, int] = {}
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -566,26 +571,29 @@ def _links_in(block: int, rows: pa.Table) -> Iterator[tuple[int, int]]:
             x = up
         return x
 
-    for cut in range(0, len(on_left), 256):
-        i, j = on_left[cut : cut + 256, None], on_right[None, :]
-        ok = (col["label"][i] != col["label"][j]) & ((col["key"][i] < col["key"][j]) | top[j])
-        ok &= np.minimum(col["size"][i], col["size"][j]) >= SIMILARITY * np.maximum(col["size"][i], col["size"][j])
-        x, y = np.nonzero(ok)
-        x, y = on_left[cut + x], on_right[y]
-        bits, order = (np.bitwise_count(col[c][x] ^ col[c][y]) for c in ("fp", "pairs"))
+    cut = 0
+    while cut < len(on_left):
+        to = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + CELL_PAIRS, side="right")))
+        some = on_left[cut:to]
+        x, y = np.repeat(some, meets[cut:to]), on_right[_runs_at(start[cell[some]], meets[cut:to])]
+        cut = to
+        ok = (col["label"][x] != col["label"][y]) & ((col["key"][x] < col["key"][y]) | top[y])
+        ok &= np.minimum(col["size"][x], col["size"][y]) >= SIMILARITY * np.maximum(col["size"][x], col["size"][y])
+        x, y = x[ok], y[ok]
+        bits, order = (np.bitwise_count((col[c][x] ^ col[c][y]).view(np.uint64)) for c in ("fp", "pairs"))
         close = (np.minimum(col["words"][x], col["words"][y]) < SHORT) | ((bits <= FAR_BITS) & (order <= FAR_PAIRS))
         x, y = x[close], y[close]
         first = np.argsort((bits + order)[close], kind="stable")  # the likeliest links first
         for at in range(0, len(first), 1 << 12):
-            some = first[at : at + (1 << 12)]
+            now = first[at : at + (1 << 12)]
             pairs = []
-            for p, q in zip(x[some].tolist(), y[some].tolist(), strict=True):
+            for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True):
                 if find(int(col["label"][p])) == find(int(col["label"][q])):
                     continue
                 for r in (p, q):
                     if r not in text:
                         text[r], near[r] = line[r].as_py(), frozenset(also[r].as_py())
-                if min(near[p] & near[q]) == block:  # of the blocks they share, one tests them
+                if min(near[p] & near[q]) == col["block"][p]:  # of the blocks they share, one tests them
                     pairs.append((p, q))
             if not pairs:
                 continue
@@ -601,26 +609,31 @@ def _links_in(block: int, rows: pa.Table) -> Iterator[tuple[int, int]]:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of each cell; its rows come one after another."""
     held: list[pa.RecordBatch] = []
-    cell = None
+    root: dict[int, int] = {}
+    last = None
 
     def links() -> Iterator[pa.RecordBatch]:
-        found = list(_links_in(cell[0], pa.Table.from_batches(held)))
+        found = list(_links_in(pa.Table.from_batches(held), root))
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "i", "j")])
-        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for begin, end in zip(cuts, cuts[1:], strict=False):
-            own = tuple(at[:, begin].tolist())
-            if own != cell:
-                if held:
-                    yield from links()
-                cell, held = own, []
-            held.append(batch.slice(begin, end - begin))
+    for whole in batches:
+        for begin in range(0, whole.num_rows, CELL_ROWS):
+            batch = whole.slice(begin, CELL_ROWS)
+            at = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "i", "j")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            if last is not None and tuple(at[:, 0].tolist()) != last:
+                cuts = np.concatenate(([0], cuts))
+            last = tuple(at[:, -1].tolist())
+            rest = 0
+            if len(cuts) and sum(b.num_rows for b in held) + int(cuts[-1]) >= CELL_ROWS:
+                rest = int(cuts[-1])  # where the last cell begins, which may go on
+                if rest:
+                    held.append(batch.slice(0, rest))
+                yield from links()
+                held = []
+            held.append(batch.slice(rest))
     if held:
         yield from links()
 
