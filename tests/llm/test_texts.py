@@ -3,6 +3,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, pieces, pii, quality, secretscan
+from tidemark.llm import chat, decontam, langid, pieces, pii, quality, secretscan, simhash
 from tidemark.llm._bytes import flat
 from tidemark.llm._sample import spread
 from tidemark.llm._shared import crc_part
@@ -189,6 +190,31 @@ def test_a_million_letters_without_a_space(vocabulary):
     assert time.perf_counter() - began < 90
 
 
+def test_encoding_holds_little_memory(vocabulary):
+    """A task held 140 MB for a batch of 4 MB of text, beside an executor whose heap is full."""
+
+    class Held:
+        value = vocabulary
+
+    text = "lorem ipsum dolor sit amet consectetur " * 105
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array([text] * 1000)], ["doc_id", "row", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in pieces._encoder(Held, 7, 0.1)(iter([batch]))) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_are_bounded_by_bytes(odd):
+    """Whole batches of 10,000 rows or 64 MB were held by the JVM and by Python, in every task."""
+    simhash.fingerprints(odd)  # any operator
+    docs = odd.sparkSession.range(40).select(F.repeat(F.lit("x"), 1 << 19).alias("text"))
+    sizes = [r.n for r in docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) >= 20 << 20
+    assert max(sizes) <= 4 << 20
+
+
 def test_pieces_odd_rows(odd, none, same_ids):
     out = pieces.encode(odd)
     same_ids(out)

@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of Arrow batches are regrouped so that Python holds about so many bytes of text at a time.
-BLOCK_BYTES = 4 << 20
+#: Arrow batches are bound to about so many bytes, and cut so that Python works on no more text at a time.
+BLOCK_BYTES = 2 << 20
+#: Spark's own bound is 64 MB and 10,000 rows, which the JVM and Python both hold, for each task.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,9 @@ def sweep(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context."""
+    """Send this package to the executors, once per context; bound the session's Arrow batches, unless someone has."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(BLOCK_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return

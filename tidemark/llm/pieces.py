@@ -27,6 +27,8 @@ DROPOUT = 0.1
 SEED = 7
 #: Longer chunks are cut, and merged by an agenda one by one if they stay longer; shorter ones in lockstep.
 LONG = 64
+#: Bytes of text that are encoded at a time; the arrays over their chunks take up to forty times as much memory.
+BLOCK = 1 << 20
 _SPACE = "▁"
 _NONE = np.int32(2**31 - 1)
 
@@ -278,7 +280,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]
 def _encoder(held, seed: int, dropout: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        for batch in blocks(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text", BLOCK):
             texts = batch.column("text").to_pylist()
             documents = np.asarray(batch.column("row"), dtype=np.int64).view(np.uint64)
             ids, sizes = encode_texts(v, [t or "" for t in texts], seed, dropout, documents)
