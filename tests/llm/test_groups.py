@@ -309,6 +309,43 @@ def test_similarity_of_very_long_lines():
         assert lines.similar(a, b) == (exact <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(3)
+    xs, ys = [], []
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh ", "äß日a"])
+        x = "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])))
+        y = "".join(c if rng.random() < 0.8 else rng.choice(["", c + "a", "b"]) for c in x) if rng.random() < 0.8 else "".join(rng.choices(letters, k=rng.randint(0, 150)))
+        xs.append(x)
+        ys.append(y)
+    assert lines._distances(xs, ys).tolist() == [lines.edit_distance(x, y) for x, y in zip(xs, ys, strict=True)]
+    assert lines._distances([], []).tolist() == []
+
+
+def test_pairs_are_measured_together(monkeypatch):
+    """Lines of the same words in other orders took a distance for every gap, one by one: most of op10's time."""
+    rng = random.Random(8)
+    pairs = []
+    for n in rng.choices((5, 20, 60), k=600):
+        line = rng.choices(WORDS, k=n)
+        other = list(line)
+        if rng.random() < 0.5:
+            rng.shuffle(other)
+        else:
+            other[rng.randrange(n)] = "é" * rng.randint(1, 20)
+        pairs.append((" ".join(line), " ".join(other)))
+    pairs += [("", ""), ("same", "same"), ("", "x" * 2000), ("x" * 5000, "x" * 2500 + "y" * 900 + "x" * 1600), ("a " * 900, "b " * 900)]
+    xs, ys = zip(*pairs, strict=True)
+    want = [lines.similar(x, y) for x, y in pairs]
+    plain, calls = lines.edit_distance, []
+    monkeypatch.setattr(lines, "edit_distance", lambda *a: calls.append(a) or plain(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(xs))), pa.array(range(len(xs))), pa.array(xs), pa.array(ys)], ["a", "b", "x", "y"])
+    got = [ok for b in lines._verify(iter([batch])) for ok in b.column("ok").to_pylist()]
+    assert got == want
+    assert 100 < sum(want) < 500
+    assert len(calls) < len(pairs) / 4
+
+
 def test_lines_odd_rows(odd, none, same_ids):
     out = lines.dedup_lines(odd)
     same_ids(out)

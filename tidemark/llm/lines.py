@@ -69,9 +69,9 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """
     if a == b:
         return 0
-    a, b = _trimmed(a, b)
-    if not a or not b:
-        return len(a) + len(b)
+    a, b = sorted(_trimmed(a, b), key=len, reverse=True)  # a step for each character of the shorter
+    if not b:
+        return len(a)
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | (1 << i)
@@ -96,11 +96,69 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def _at_most(a: str, b: str) -> tuple[int, bool]:
-    """An upper bound, and whether all of it was measured.
+#: Texts of up to so many characters are measured many pairs at a time, in arrays of up to so many words of bits.
+WIDE, WORDS = 1024, 1 << 18
+#: So many pairs for each word of a column repay the arrays.
+FEW = 24
+
+
+def _distances(xs: list[str], ys: list[str]) -> np.ndarray:
+    """edit_distance() of many pairs: Myers' bit vectors in blocks of 64 rows, a column of all pairs at a time."""
+    out = np.zeros(len(xs), dtype=np.int64)
+    tall, flat_ = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)), strict=True) if xs else ((), ())
+    m, n = (np.fromiter(map(len, side), dtype=np.int64, count=len(xs)) for side in (tall, flat_))
+    deep = -(-m // 64)
+    for words in np.unique(deep).tolist():
+        order = np.flatnonzero(deep == words)
+        order = order[np.argsort(-n[order], kind="stable")]
+        if words == 0:
+            continue
+        if len(order) < FEW * words:
+            out[order] = [edit_distance(tall[i], flat_[i]) for i in order.tolist()]
+            continue
+        codes = lambda side, some: np.frombuffer("".join([side[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = 0
+        while at < len(order):
+            some = order[at : at + max(1, WORDS // (64 * words))]
+            both, place = np.unique(np.concatenate([codes(tall, some), codes(flat_, some)]), return_inverse=True)
+            if len(both) > 128 and len(some) > 1:  # many letters: fewer pairs
+                some = some[: max(1, len(some) * 128 // len(both))]
+                both, place = np.unique(np.concatenate([codes(tall, some), codes(flat_, some)]), return_inverse=True)
+            at += len(some)
+            rows, cols = m[some], n[some]
+            pair, row = np.repeat(np.arange(len(some)), rows), _runs_at(np.zeros(len(some), np.int64), rows)
+            match = np.zeros((words, len(some) * len(both)), dtype=np.uint64)
+            np.add.at(match, (row >> 6, pair * len(both) + place[: len(row)]), np.uint64(1) << (row & 63).astype(np.uint64))
+            column, first = place[len(row) :], np.cumsum(cols) - cols
+            up, down = np.full((words, len(some)), ~np.uint64(0)), np.zeros((words, len(some)), dtype=np.uint64)
+            score, top, one = rows.copy(), ((rows - 1) & 63).astype(np.uint64), np.uint64(1)
+            active = np.searchsorted(-cols, -np.arange(1, int(cols[0]) + 1 if len(cols) else 1), side="right")
+            for j, k in enumerate(active.tolist()):
+                which = np.arange(k) * len(both) + column[first[:k] + j]
+                rise, fall = np.full(k, one), np.zeros(k, dtype=np.uint64)  # into the block, from the one above
+                for w in range(words):
+                    same, u, d = match[w, which], up[w, :k], down[w, :k]
+                    vertical = same | d
+                    same |= fall
+                    across = (((same & u) + u) ^ u) | same
+                    plus, minus = d | ~(across | u), u & across
+                    if w == words - 1:
+                        score[:k] += ((plus >> top[:k]) & one).astype(np.int64) - ((minus >> top[:k]) & one).astype(np.int64)
+                    low_plus, low_minus = plus << one | rise, minus << one | fall
+                    rise, fall = plus >> np.uint64(63), minus >> np.uint64(63)
+                    up[w, :k] = low_minus | ~(vertical | low_plus)
+                    down[w, :k] = low_plus & vertical
+            out[some] = score
+    return out
 
-    Words that either side has once are held in order where most of them agree; what is between is measured if it is short, else counted as replaced.
-    """
+
+def _by_length(a: str, b: str) -> int:
+    """A lower bound of the distance of different texts."""
+    return max(1, abs(len(a) - len(b)))
+
+
+def _gaps(a: str, b: str) -> list[tuple[str, str]]:
+    """What differs between words that either side has once, held in order where most of them agree."""
 
     def once(t: str) -> dict[str, int]:
         out: dict[str, int] = {}
@@ -123,14 +181,23 @@ def _at_most(a: str, b: str) -> tuple[int, bool]:
     while k >= 0:
         chain.append(both[k])
         k = before[k]
-    total, i, j, measured = 0, 0, 0, True
+    gaps, i, j = [], 0, 0
     for p, q, n in [*reversed(chain), (len(a), len(b), 0)]:
         x, y = a[i:p], b[j:q]
-        short = len(x) * len(y) <= 1 << 18
-        total += edit_distance(x, y) if short else max(len(x), len(y))
-        measured &= short
+        if x != y:
+            gaps.append((x, y))
         i, j = p + n, q + n
-    return total, measured
+    return gaps
+
+
+def _short(gap: tuple[str, str]) -> bool:
+    return len(gap[0]) * len(gap[1]) <= 1 << 18
+
+
+def _at_most(a: str, b: str) -> tuple[int, bool]:
+    """An upper bound of the distance, and whether all of it was measured: gaps are measured if they are short, else counted as replaced."""
+    gaps = _gaps(a, b)
+    return sum(edit_distance(*gap) if _short(gap) else max(map(len, gap)) for gap in gaps), all(map(_short, gaps))
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -154,6 +221,50 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return edit_distance(a, b, allowed) <= allowed
 
 
+def similar_pairs(xs: list[str], ys: list[str], least: float = SIMILARITY) -> np.ndarray:
+    """similar() of many pairs: what the gaps' lengths do not decide is measured together."""
+    out = np.zeros(len(xs), dtype=bool)
+    short, open_ = [], []  # pairs of short texts, and of texts with gaps
+    for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
+        most = max(len(a), len(b))
+        if min(len(a), len(b)) < least * most:
+            continue
+        allowed = int(most - least * most + 1e-9)
+        x, y = _trimmed(a, b)
+        if min(len(x), len(y)) < LONG:
+            if max(len(x), len(y)) > WIDE:
+                out[i] = edit_distance(x, y, allowed) <= allowed
+            elif abs(len(x) - len(y)) <= allowed:
+                short.append((i, x, y, allowed))
+            continue
+        gaps = _gaps(x, y)
+        if all(max(map(len, gap)) <= WIDE for gap in gaps):
+            if sum(_by_length(*gap) for gap in gaps) <= SLACK * allowed:
+                open_.append((i, x, y, allowed, gaps))
+        else:
+            out[i] = similar(a, b, least)
+    own = _distances([x for _, x, _, _ in short], [y for _, _, y, _ in short])
+    for (i, _, _, allowed), d in zip(short, own.tolist(), strict=True):
+        out[i] = d <= allowed
+    each = [gap for *_, gaps in open_ for gap in gaps]
+    if each:  # letters that one side has more often must come in, and those of the other go, or one becomes the other
+        x, y = ([t.encode("utf-8", "surrogatepass") for t in side] for side in zip(*each, strict=True))
+        away = _letters(x) - _letters(y)
+        bound = np.maximum(np.where(away > 0, away, 0).sum(axis=1), np.where(away < 0, -away, 0).sum(axis=1)) / 4  # an edit changes at most four bytes
+        bound *= np.where([p.isascii() and q.isascii() for p, q in zip(x, y, strict=True)], 4, 1)
+        sizes = np.array([len(gaps) for *_, gaps in open_])
+        at_least = np.bincount(np.repeat(np.arange(len(open_)), sizes), weights=bound, minlength=len(open_))
+        open_ = [o for o, n in zip(open_, at_least.tolist(), strict=True) if n <= SLACK * o[3]]
+        each = [gap for *_, gaps in open_ for gap in gaps]
+    measured = np.concatenate(([0], np.cumsum(_distances([x for x, _ in each], [y for _, y in each])))).tolist()
+    at = 0
+    for i, x, y, allowed, gaps in open_:
+        bound = measured[at + len(gaps)] - measured[at]
+        at += len(gaps)
+        out[i] = bound <= allowed or (bound <= SLACK * allowed and edit_distance(x, y, allowed) <= allowed)
+    return out
+
+
 # --- lines and their blocks --------------------------------------------------------------------
 
 
@@ -467,8 +578,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "x", 1 << 20):
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
         ok = _may_be_similar(x, y)
-        for i in np.flatnonzero(ok).tolist():
-            ok[i] = similar(x[i], y[i])
+        some = np.flatnonzero(ok).tolist()
+        ok[some] = similar_pairs([x[i] for i in some], [y[i] for i in some])
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -584,8 +695,10 @@ def _links_in(rows: pa.Table, root: dict[int, int]) -> Iterator[tuple[int, int]]
         close = (np.minimum(col["words"][x], col["words"][y]) < SHORT) | ((bits <= FAR_BITS) & (order <= FAR_PAIRS))
         x, y = x[close], y[close]
         first = np.argsort((bits + order)[close], kind="stable")  # the likeliest links first
-        for at in range(0, len(first), 1 << 12):
-            now = first[at : at + (1 << 12)]
+        at, step = 0, 1 << 8  # few at first, as their links unite labels
+        while at < len(first):
+            now = first[at : at + step]
+            at, step = at + step, min(2 * step, 1 << 12)
             pairs = []
             for p, q in zip(x[now].tolist(), y[now].tolist(), strict=True):
                 if find(int(col["label"][p])) == find(int(col["label"][q])):
@@ -598,10 +711,10 @@ def _links_in(rows: pa.Table, root: dict[int, int]) -> Iterator[tuple[int, int]]
             if not pairs:
                 continue
             may = _may_be_similar([text[p] for p, _ in pairs], [text[q] for _, q in pairs])
-            for k in np.flatnonzero(may).tolist():
-                p, q = pairs[k]
+            left = [pairs[k] for k in np.flatnonzero(may).tolist()]
+            for p, q in (left[k] for k in np.flatnonzero(similar_pairs([text[p] for p, _ in left], [text[q] for _, q in left])).tolist()):
                 a, b = find(int(col["label"][p])), find(int(col["label"][q]))
-                if a != b and similar(text[p], text[q]):
+                if a != b:
                     root[a] = b
                     yield int(col["key"][p]), int(col["key"][q])
 
