@@ -346,6 +346,80 @@ def test_pairs_are_measured_together(monkeypatch):
     assert len(calls) < len(pairs) / 4
 
 
+def test_limits_of_many_distances():
+    """With limits, distances up to them are exact, and others are over them; blocks of rows, pairs left out on the way, letters of any width."""
+    rng = random.Random(8)
+    xs, ys = [], []
+    for _ in range(600):
+        a = rng.choices("abcd é日\U0001f600" if rng.random() < 0.5 else "abcdefgh ", k=rng.choice([1, 40, 64, 65, 130, 300, 520]))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // rng.choice([1, 4, 12]) + 1)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 2)] = rng.choices("abxyz ", k=rng.randint(0, 2))
+        xs.append("".join(a))
+        ys.append("".join(b))
+    most = [max(len(a), len(b)) // 5 for a, b in zip(xs, ys, strict=True)]
+    want = [lines.edit_distance(x, y) for x, y in zip(xs, ys, strict=True)]
+    got = lines._distances(xs, ys, most).tolist()
+    assert all(g == d if d <= k else g > k for g, d, k in zip(got, want, most, strict=True))
+    assert 100 < sum(d <= k for d, k in zip(want, most, strict=True)) < 500
+
+
+def test_one_passage_replaced_is_never_far():
+    """Its distance is its length at most, though the words it shares with the other lie at its other end, and its gaps sum up to more."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    head, old, new = ([word() for _ in range(n)] for n in (160, 30, 30))
+    a, b = (" ".join([*head, *part]) for part in ([*old, "zebra"], ["zebra", *new]))
+    x, y = lines._trimmed(a, b)
+    allowed = int(0.2 * max(len(a), len(b)) + 1e-9)
+    assert max(len(x), len(y)) <= allowed < lines._at_most(x, y)[0] / lines.SLACK
+    assert lines.similar(a, b) and lines.similar_pairs([a], [b]).tolist() == [True]
+
+
+def test_long_texts_of_few_words_are_bounded(monkeypatch):
+    """No word comes once, yet runs of words do: the whole distance is not taken."""
+    rng = random.Random(10)
+    a = rng.choices("the of and in to was for with".split(), k=2000)
+    b = [w if i % 100 else "new" for i, w in enumerate(a)]
+    whole, plain = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda x, y, *most: whole.append(len(x)) or plain(x, y, *most))
+    assert lines.similar(" ".join(a), " ".join(b))
+    assert max(whole, default=0) < 1000
+
+
+def test_keys_of_texts_are_not_sorted_for_every_batch(monkeypatch):
+    """Texts of candidate lines are found by bisection in the sorted keys."""
+    texts = [f"line number {i} of some text that is here" for i in range(50)]
+    key = lines.line_keys(parsed(texts))[0].view(np.int64)
+    monkeypatch.setattr(np, "isin", None)
+    held = type("Held", (), {"value": np.sort(key[::2])})
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = [k for b in lines._texts_of([], held)(iter([batch])) for k in b.column("key").to_pylist()]
+    assert sorted(got) == sorted(key[::2].tolist())
+    held.value = held.value[:0]
+    assert list(lines._texts_of([], held)(iter([batch]))) == []
+
+
+def test_shared_blocks_equal_a_dictionary(monkeypatch):
+    """Blocks go to their buckets many in a row; of those that several lines share, each line comes once, with the least key."""
+    monkeypatch.setattr(lines, "HELD", 64)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("red blue green black white".split(), k=rng.randint(1, 9))) for _ in range(300)]
+    texts += ["x" * 70_000, "x" * 70_000 + "y " + "z" * 140_000, " ".join(["same words again"] * 40)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    packed = [b for part in (batch.slice(0, 150), batch.slice(150), batch.slice(100, 50)) for b in lines._blocks_of([], 5)(iter([part]))]
+    rows = pa.Table.from_batches(packed).sort_by("bucket")
+    got = [r for b in lines._shared(iter(rows.to_batches(max_chunksize=3))) for r in zip(*(b.column(c).to_pylist() for c in ("block", "key", "rep")), strict=True)]
+    all_ = parsed(texts)
+    key = lines.line_keys(all_)[0].view(np.int64).tolist()
+    under: dict = {}
+    for i, block in zip(*(x.tolist() for x in lines.block_keys(all_)), strict=True):
+        under.setdefault(int(np.uint64(block).view(np.int64)), set()).add(key[i])
+    assert sorted(got) == sorted((b, k, min(ks)) for b, ks in under.items() if len(ks) > 1 for k in ks)
+    assert list(lines._shared(iter([]))) == []
+
+
 def test_lines_odd_rows(odd, none, same_ids):
     out = lines.dedup_lines(odd)
     same_ids(out)

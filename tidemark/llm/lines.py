@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bytes import flat, runs, table
 from tidemark.llm._bytes import mix as _mix
 from tidemark.llm._shared import blocks, release, row_key, ship, stored, sweep
-from tidemark.llm.components import components
+from tidemark.llm.components import CHUNK, components
 from tidemark.llm.simhash import bit_majority
 
 SIMILARITY = 0.8
@@ -33,6 +34,8 @@ PART = 2000
 BROADCAST_KEYS = 1_000_000
 #: Texts from this length on are first tried by an upper bound of their distance: the exact one is not taken if the bound is over so many times what is allowed.
 LONG, SLACK = 30, 1.25
+#: Long texts that have few words once are also bounded by their runs of so many words.
+RUN = 3
 
 _HASH_BITS = 42
 _BLANK = table(b" \t\n\x0b\x0c\r")
@@ -98,78 +101,107 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 #: Texts of up to so many characters are measured many pairs at a time, in arrays of up to so many words of bits.
 WIDE, WORDS = 1024, 1 << 18
-#: So many pairs for each word of a column repay the arrays.
-FEW = 24
+#: So many pairs repay the arrays; pairs of so many words of bits, or fewer, are taken together.
+FEW, DEEP = 24, np.array([1, 2, 3, 4, 6, 8, 12, 16])
+#: After every so many columns, pairs are left out that can no longer come to what is allowed.
+LOOK = 32
 
 
-def _distances(xs: list[str], ys: list[str]) -> np.ndarray:
-    """edit_distance() of many pairs: Myers' bit vectors in blocks of 64 rows, a column of all pairs at a time."""
+def _distances(xs: list[str], ys: list[str], most: list[int] | None = None) -> np.ndarray:
+    """edit_distance() of many pairs: Myers' bit vectors in blocks of 64 rows, all pairs at a time; each block is a column behind the one above it.
+
+    With `most`, any distance above a pair's may come back as that plus 1, and sooner.
+    """
     out = np.zeros(len(xs), dtype=np.int64)
     tall, flat_ = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(xs, ys, strict=True)), strict=True) if xs else ((), ())
     m, n = (np.fromiter(map(len, side), dtype=np.int64, count=len(xs)) for side in (tall, flat_))
     deep = -(-m // 64)
-    for words in np.unique(deep).tolist():
-        order = np.flatnonzero(deep == words)
-        order = order[np.argsort(-n[order], kind="stable")]
-        if words == 0:
-            continue
-        if len(order) < FEW * words:
-            out[order] = [edit_distance(tall[i], flat_[i]) for i in order.tolist()]
+    group = np.where(deep <= DEEP[-1], DEEP[np.minimum(np.searchsorted(DEEP, deep), len(DEEP) - 1)], deep)
+    for words in np.unique(group[m > 0]).tolist():
+        order = np.flatnonzero((group == words) & (m > 0))
+        order = order[np.argsort(-(n + deep)[order], kind="stable")]
+        if len(order) < FEW:
+            out[order] = [edit_distance(tall[i], flat_[i], most and most[i]) for i in order.tolist()]
             continue
-        codes = lambda side, some: np.frombuffer("".join([side[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = 0
         while at < len(order):
             some = order[at : at + max(1, WORDS // (64 * words))]
-            both, place = np.unique(np.concatenate([codes(tall, some), codes(flat_, some)]), return_inverse=True)
-            if len(both) > 128 and len(some) > 1:  # many letters: fewer pairs
-                some = some[: max(1, len(some) * 128 // len(both))]
-                both, place = np.unique(np.concatenate([codes(tall, some), codes(flat_, some)]), return_inverse=True)
             at += len(some)
-            rows, cols = m[some], n[some]
-            pair, row = np.repeat(np.arange(len(some)), rows), _runs_at(np.zeros(len(some), np.int64), rows)
-            match = np.zeros((words, len(some) * len(both)), dtype=np.uint64)
-            np.add.at(match, (row >> 6, pair * len(both) + place[: len(row)]), np.uint64(1) << (row & 63).astype(np.uint64))
-            column, first = place[len(row) :], np.cumsum(cols) - cols
-            up, down = np.full((words, len(some)), ~np.uint64(0)), np.zeros((words, len(some)), dtype=np.uint64)
-            score, top, one = rows.copy(), ((rows - 1) & 63).astype(np.uint64), np.uint64(1)
-            active = np.searchsorted(-cols, -np.arange(1, int(cols[0]) + 1 if len(cols) else 1), side="right")
-            for j, k in enumerate(active.tolist()):
-                which = np.arange(k) * len(both) + column[first[:k] + j]
-                rise, fall = np.full(k, one), np.zeros(k, dtype=np.uint64)  # into the block, from the one above
-                for w in range(words):
-                    same, u, d = match[w, which], up[w, :k], down[w, :k]
-                    vertical = same | d
-                    same |= fall
-                    across = (((same & u) + u) ^ u) | same
-                    plus, minus = d | ~(across | u), u & across
-                    if w == words - 1:
-                        score[:k] += ((plus >> top[:k]) & one).astype(np.int64) - ((minus >> top[:k]) & one).astype(np.int64)
-                    low_plus, low_minus = plus << one | rise, minus << one | fall
-                    rise, fall = plus >> np.uint64(63), minus >> np.uint64(63)
-                    up[w, :k] = low_minus | ~(vertical | low_plus)
-                    down[w, :k] = low_plus & vertical
-            out[some] = score
+            out[some] = _columns([tall[i] for i in some], [flat_[i] for i in some], words, None if most is None else np.array([most[i] for i in some]))
     return out
 
 
-def _by_length(a: str, b: str) -> int:
-    """A lower bound of the distance of different texts."""
-    return max(1, abs(len(a) - len(b)))
+def _columns(tall: list[str], flat_: list[str], words: int, most: np.ndarray | None) -> np.ndarray:
+    """The distances of pairs of texts, in order of falling steps."""
+    m, n = (np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in (tall, flat_))
+    code = np.frombuffer("".join([*tall, *flat_]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    there = np.zeros(int(code.max()) + 1, dtype=bool)
+    there[code] = True
+    place = (np.cumsum(there) - 1)[code]
+    letters, one, pairs = int(place.max()) + 1, np.uint64(1), np.arange(len(m))
+    if letters > 256 and len(m) > 1:  # fewer pairs have fewer letters
+        half = len(m) // 2
+        return np.concatenate([_columns(tall[k], flat_[k], words, None if most is None else most[k]) for k in (slice(half), slice(half, None))])
+    pair, row = np.repeat(pairs, m), _runs_at(np.zeros(len(m), np.int64), m)
+    match = np.zeros(words * len(m) * letters, dtype=np.uint64)
+    np.add.at(match, ((row >> 6) * len(m) + pair) * letters + place[: len(row)], one << (row & 63).astype(np.uint64))
+    base = (np.arange(words)[:, None] * len(m) + pairs) * letters
+    low, top = (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64)  # where a pair's last row is
+    column = np.zeros((int((n + low).max()) + words, len(m)), dtype=np.int64)
+    column[words - 1 + _runs_at(np.zeros(len(m), np.int64), n), np.repeat(pairs, n)] = place[len(row) :]
+    up, down = np.full((words, len(m)), ~np.uint64(0)), np.zeros((words, len(m)), dtype=np.uint64)
+    rise, fall = np.zeros((words + 1, len(m)), dtype=np.uint64), np.zeros((words + 1, len(m)), dtype=np.uint64)  # into each block
+    rise[0] = one
+    out, score, who = m.copy(), m.copy(), pairs
+    steps = n + low
+    for s in range(int(steps[0])):
+        k, h = int(np.searchsorted(-steps, -s)), min(words, s + 1)
+        if not k:
+            break
+        same = match[base[:h, :k] + column[s + words - h : s + words][::-1, :k]]
+        u, d, r, f = up[:h, :k], down[:h, :k], rise[:h, :k], fall[:h, :k]
+        vertical = same | d
+        same |= f
+        across = (((same & u) + u) ^ u) | same
+        plus, minus = d | ~(across | u), u & across
+        low_plus, low_minus = plus << one | r, minus << one | f
+        u[...] = low_minus | ~(vertical | low_plus)
+        d[...] = low_plus & vertical
+        rise[1 : h + 1, :k], fall[1 : h + 1, :k] = plus >> np.uint64(63), minus >> np.uint64(63)
+        last = np.minimum(low[:k], h - 1)
+        change = ((plus[last, pairs[:k]] >> top[:k]) & one).astype(np.int64) - ((minus[last, pairs[:k]] >> top[:k]) & one).astype(np.int64)
+        score[:k] += np.where((s >= low[:k]) & (s < steps[:k]), change, 0)
+        if most is None or h < words or s % LOOK != LOOK - 1:
+            continue
+        # a path goes through a cell where a block is now, or passes one by; what is above and below a block's 64 rows bounds all of them
+        own = np.bitwise_count(u).astype(np.int64) - np.bitwise_count(d)
+        below = s + 1 + np.cumsum(own, axis=0)
+        below[1:] -= np.cumsum(rise[1:words, :k].astype(np.int64) - fall[1:words, :k].astype(np.int64), axis=0)
+        least = ((2 * below - own - 64) // 2).min(axis=0) - 1
+        over = (least > most[:k]) & (n[:k] > s)
+        if over.sum() * 8 >= k:
+            out[who[k:]], out[who[:k][over]] = score[k:], most[:k][over] + 1
+            left = np.flatnonzero(~over)
+            up, down, rise, fall, base, column = (each[:, left] for each in (up, down, rise, fall, base, column))
+            n, low, top, steps, score, most, who = (each[left] for each in (n, low, top, steps, score, most, who))
+    out[who] = score
+    return out
 
 
-def _gaps(a: str, b: str) -> list[tuple[str, str]]:
-    """What differs between words that either side has once, held in order where most of them agree."""
+def _gaps(a: str, b: str, run: int = 1) -> list[tuple[str, str]]:
+    """What differs between words that either side has once, held in order where most of them agree; with `run`, words that begin a run of so many that either side has once."""
 
-    def once(t: str) -> dict[str, int]:
-        out: dict[str, int] = {}
+    def once(t: str) -> dict[str, tuple[int, int]]:
+        out: dict[str, tuple[int, int]] = {}
         place = 0
-        for w in t.split(" "):
-            out[w] = -1 if w in out else place
+        words = t.split(" ")
+        for w, key in zip(words, words if run == 1 else map(" ".join, zip(*(words[k:] for k in range(run)), strict=False)), strict=False):
+            out[key] = (-1, 0) if key in out else (place, len(w))
             place += len(w) + 1
         return out
 
     there = once(b)
-    both = [(i, there[w], len(w)) for w, i in once(a).items() if w and i >= 0 and there.get(w, -1) >= 0]
+    both = [(i, there[w][0], n) for w, (i, n) in once(a).items() if n and there.get(w, (-1, 0))[1]]
     tails: list[int] = []
     ends: list[int] = []
     before: list[int] = [-1] * len(both)
@@ -194,9 +226,9 @@ def _short(gap: tuple[str, str]) -> bool:
     return len(gap[0]) * len(gap[1]) <= 1 << 18
 
 
-def _at_most(a: str, b: str) -> tuple[int, bool]:
+def _at_most(a: str, b: str, run: int = 1) -> tuple[int, bool]:
     """An upper bound of the distance, and whether all of it was measured: gaps are measured if they are short, else counted as replaced."""
-    gaps = _gaps(a, b)
+    gaps = _gaps(a, b, run)
     return sum(edit_distance(*gap) if _short(gap) else max(map(len, gap)) for gap in gaps), all(map(_short, gaps))
 
 
@@ -212,56 +244,68 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
         return False
     allowed = int(most - least * most + 1e-9)
     a, b = _trimmed(a, b)
+    if max(len(a), len(b)) <= allowed:
+        return True
     if min(len(a), len(b)) >= LONG:
         bound, measured = _at_most(a, b)
         if bound <= allowed:
             return True
         if measured and bound > SLACK * allowed:
             return False
+        if not measured and _at_most(a, b, RUN)[0] <= allowed:
+            return True
     return edit_distance(a, b, allowed) <= allowed
 
 
 def similar_pairs(xs: list[str], ys: list[str], least: float = SIMILARITY) -> np.ndarray:
-    """similar() of many pairs: what the gaps' lengths do not decide is measured together."""
+    """similar() of many pairs: what the lengths and letters of the gaps do not decide is measured together."""
     out = np.zeros(len(xs), dtype=bool)
-    short, open_ = [], []  # pairs of short texts, and of texts with gaps
+    whole, open_ = [], []  # pairs to measure as they are, and by their gaps
     for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
         most = max(len(a), len(b))
         if min(len(a), len(b)) < least * most:
             continue
         allowed = int(most - least * most + 1e-9)
         x, y = _trimmed(a, b)
+        if max(len(x), len(y)) <= allowed:
+            out[i] = True
+            continue
         if min(len(x), len(y)) < LONG:
             if max(len(x), len(y)) > WIDE:
                 out[i] = edit_distance(x, y, allowed) <= allowed
             elif abs(len(x) - len(y)) <= allowed:
-                short.append((i, x, y, allowed))
+                whole.append((i, x, y, allowed))
             continue
         gaps = _gaps(x, y)
-        if all(max(map(len, gap)) <= WIDE for gap in gaps):
-            if sum(_by_length(*gap) for gap in gaps) <= SLACK * allowed:
+        if sum(max(len(p), len(q)) for p, q in gaps) <= allowed:
+            out[i] = True
+        elif all(len(p) <= WIDE and len(q) <= WIDE for p, q in gaps):
+            if sum(abs(len(p) - len(q)) or 1 for p, q in gaps) <= SLACK * allowed:
                 open_.append((i, x, y, allowed, gaps))
         else:
             out[i] = similar(a, b, least)
-    own = _distances([x for _, x, _, _ in short], [y for _, _, y, _ in short])
-    for (i, _, _, allowed), d in zip(short, own.tolist(), strict=True):
-        out[i] = d <= allowed
-    each = [gap for *_, gaps in open_ for gap in gaps]
-    if each:  # letters that one side has more often must come in, and those of the other go, or one becomes the other
-        x, y = ([t.encode("utf-8", "surrogatepass") for t in side] for side in zip(*each, strict=True))
-        away = _letters(x) - _letters(y)
-        bound = np.maximum(np.where(away > 0, away, 0).sum(axis=1), np.where(away < 0, -away, 0).sum(axis=1)) / 4  # an edit changes at most four bytes
-        bound *= np.where([p.isascii() and q.isascii() for p, q in zip(x, y, strict=True)], 4, 1)
-        sizes = np.array([len(gaps) for *_, gaps in open_])
-        at_least = np.bincount(np.repeat(np.arange(len(open_)), sizes), weights=bound, minlength=len(open_))
-        open_ = [o for o, n in zip(open_, at_least.tolist(), strict=True) if n <= SLACK * o[3]]
+    if open_:
         each = [gap for *_, gaps in open_ for gap in gaps]
-    measured = np.concatenate(([0], np.cumsum(_distances([x for x, _ in each], [y for _, y in each])))).tolist()
-    at = 0
-    for i, x, y, allowed, gaps in open_:
-        bound = measured[at + len(gaps)] - measured[at]
-        at += len(gaps)
-        out[i] = bound <= allowed or (bound <= SLACK * allowed and edit_distance(x, y, allowed) <= allowed)
+        sizes = np.array([len(gaps) for *_, gaps in open_])
+        pair = np.repeat(np.arange(len(open_)), sizes)
+        bound = np.maximum(_by_letters(*zip(*each, strict=True)), 1)
+        room = np.floor(SLACK * np.array([o[3] for o in open_])) - np.bincount(pair, weights=bound, minlength=len(open_))
+        left = np.flatnonzero(room[pair] >= 0).tolist()
+        most = (bound + room[pair].astype(np.int64))[left].tolist()  # of a gap, if the others come to no more than their bounds
+        measured = np.zeros(len(open_), dtype=np.int64)
+        np.add.at(measured, pair[left], _distances([each[k][0] for k in left], [each[k][1] for k in left], most))
+        for (i, x, y, allowed, _), d, some in zip(open_, measured.tolist(), room.tolist(), strict=True):
+            if some >= 0 and d <= SLACK * allowed:
+                out[i] = d <= allowed
+                if d > allowed:
+                    whole.append((i, x, y, allowed))
+    short = [o for o in whole if max(map(len, o[1:3])) <= WIDE]
+    if short:
+        at, x, y, allowed = zip(*short, strict=True)
+        out[list(at)] = _distances(x, y, allowed) <= np.array(allowed)
+    for i, x, y, allowed in whole:
+        if max(len(x), len(y)) > WIDE:
+            out[i] = edit_distance(x, y, allowed) <= allowed
     return out
 
 
@@ -341,6 +385,7 @@ def line_keys(lines: Lines, taken: list[np.ndarray] = ()) -> tuple[np.ndarray, n
 
 
 _POWER = np.cumprod(np.full(1 << 16, _ODD, dtype=np.uint64))
+_INVERSE = np.concatenate((np.ones(1, dtype=np.uint64), np.cumprod(np.full((1 << 16) - 1, pow(int(_ODD), -1, 1 << 64), dtype=np.uint64))))
 _TERM = np.arange(1, 257, dtype=np.uint64)
 _TERM[32] = 0
 
@@ -353,11 +398,13 @@ def _word_hashes(lines: Lines) -> np.ndarray:
     out = np.empty(len(own), dtype=np.uint64)
     at = 0
     while at < len(own):
-        low = end[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(end, low + (1 << 20), side="right")))
-        begin = end[at:to] - own[at:to] - low
-        within = np.arange(end[to - 1] - low) - np.repeat(begin, own[at:to])
-        out[at:to] = np.add.reduceat(_TERM[lines.data[low : end[to - 1]]] * _POWER[within & 0xFFFF], begin)
+        low = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, low + len(_POWER), side="right")))
+        begin, term = end[at:to] - own[at:to] - low, _TERM[lines.data[low : end[to - 1]]]
+        if len(term) > len(_POWER):  # one long word
+            out[at:to] = np.sum(term * np.resize(_POWER, len(term)))
+        else:  # powers go on through the words, and a word's first is divided out
+            out[at:to] = np.add.reduceat(term * _POWER[: len(term)], begin) * _INVERSE[begin]
         at = to
     return _mix(out)
 
@@ -474,23 +521,96 @@ class _Unseen:
         return new
 
 
-def _blocks_of(taken: list[np.ndarray]):
+#: So many (block, key) are held by a task before they are dealt out to buckets, and so many buckets there are for each shuffle partition.
+HELD, BUCKETS = 1 << 19, 8
+
+
+def _blocks_of(taken: list[np.ndarray], bits: int):
+    """`bucket, rows`: the (block, key) of a bucket one after another in a binary; the first bits of a block name its bucket."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (rows[:, 0] >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        offsets = pa.py_buffer((np.append(cut, len(rows)) * 16).astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(rows.tobytes())])], ["bucket", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unseen = _Unseen()
+        held: list[np.ndarray] = []
+        n = 0
         for batch in blocks(batches, "text"):
             lines = Lines(batch.column("text"))
-            if len(lines):
-                key, _ = line_keys(lines, taken)
-                who, block = block_keys(lines)
-                new = unseen(key)[who]
-                for cut in range(0, len(who), 1 << 18):
-                    some = slice(cut, cut + (1 << 18))
-                    k, b = key[who[some]][new[some]], block[some][new[some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(k.view(np.int64))], ["block", "key"])
+            if not len(lines):
+                continue
+            key, _ = line_keys(lines, taken)
+            who, block = block_keys(lines)
+            new = unseen(key)[who]
+            rows = np.stack([block[new], key[who[new]]], axis=1)
+            for cut in range(0, len(rows), HELD):
+                held.append(rows[cut : cut + HELD])
+                n += len(held[-1])
+                if n >= HELD:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
 
     return run
 
 
+def _shared_in(rows: np.ndarray) -> np.ndarray:
+    """`block, key, rep` once for each different (block, key) of the blocks that several keys share; rep is a block's least key."""
+    order = np.argsort(rows[:, 0])
+    same = np.diff(rows[order, 0]) == 0
+    again = np.zeros(len(rows), dtype=bool)
+    again[1:] = same
+    again[:-1] |= same
+    rows = rows[order[again]]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if len(rows):
+        rows = rows[np.concatenate(([True], (np.diff(rows, axis=0) != 0).any(axis=1)))]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(rows[:, 0]) != 0))[: len(rows)])
+    size = np.diff(np.append(first, len(rows)))
+    out = np.column_stack([rows, np.repeat(rows[first, 1], size)])
+    return out[np.repeat(size > 1, size)]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks that several keys share, bucket by bucket; a bucket's rows come one after another."""
+    held: list[bytes] = []
+    found: list[np.ndarray] = []
+    last = None
+
+    def some() -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["block", "key", "rep"])
+
+    for batch in batches:
+        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            if held and bucket != last:
+                found.append(_shared_in(np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)))
+                held = []
+                if sum(map(len, found)) >= 1 << 16:
+                    yield some()
+            held.append(rows.as_py())
+            last = bucket
+    if held:
+        found.append(_shared_in(np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)))
+    if found:
+        yield some()
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones; np.isin() would sort those again for every batch."""
+    if not len(wanted):
+        return np.zeros(len(keys), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+
+
 def _texts_of(taken: list[np.ndarray], wanted: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unseen = _Unseen()
@@ -503,7 +623,7 @@ def _texts_of(taken: list[np.ndarray], wanted: np.ndarray | None):
             if wanted is None:
                 new = unseen(signed)
             else:
-                new = np.isin(signed, wanted.value)
+                new = _among(signed, wanted.value)
                 new[new] = unseen(signed[new])
             if new.any():
                 some = lines.take(np.flatnonzero(new))
@@ -539,8 +659,14 @@ class _Source:
             release(lines, each)
             self.taken = [*self.taken, np.sort(np.array(clash, dtype=np.int64))]
 
-    def blocks(self) -> DataFrame:
-        return self.rows.select("text").mapInArrow(_blocks_of(self.taken), "block long, key long")
+    def shared(self) -> DataFrame:
+        """`block, key, rep`: the lines under each block that different lines share, and the least key of them.
+
+        Nearly all blocks are of one line, so they go to their bucket many in a row, and are sorted as arrays there.
+        """
+        bits = min(16, max(4, (BUCKETS * int(self.spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+        packed = self.rows.select("text").mapInArrow(_blocks_of(self.taken, bits), "bucket int, rows binary")
+        return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block long, key long, rep long")
 
     def texts(self, keys: DataFrame) -> DataFrame:
         """`key, fp, pairs, words, size, line` of the keys in a stored table; size is in characters."""
@@ -557,21 +683,23 @@ class _Source:
 # --- links -------------------------------------------------------------------------------------
 
 
-def _letters(texts: list[bytes]) -> np.ndarray:
-    """How often each text has the bytes of each of 64 classes."""
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has the letters of each of 64 classes."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    cell = np.repeat(np.arange(len(texts)) * 64, sizes) + (np.frombuffer(b"".join(texts), dtype=np.uint8) & 63)
-    return np.bincount(cell, minlength=64 * len(texts)).reshape(-1, 64)
+    letter = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & np.uint32(63)
+    return np.bincount(np.repeat(np.arange(len(texts)) * 64, sizes) + letter, minlength=64 * len(texts)).reshape(-1, 64)
+
+
+def _by_letters(x: list[str], y: list[str]) -> np.ndarray:
+    """A lower bound of the distance of each pair: letters that one side has more often must come in, and those of the other go."""
+    away = _letters(x) - _letters(y)
+    return np.maximum(np.where(away > 0, away, 0).sum(axis=1), np.where(away < 0, -away, 0).sum(axis=1))
 
 
 def _may_be_similar(x: list[str], y: list[str], least: float = SIMILARITY) -> np.ndarray:
-    """False only where the counts of bytes rule similar() out: an edit changes at most four bytes to others."""
-    a, b = ([t.encode("utf-8", "replace") for t in side] for side in (x, y))
-    away = _letters(a) - _letters(b)
-    most = np.maximum(np.where(away > 0, away, 0).sum(axis=1), np.where(away < 0, -away, 0).sum(axis=1))
+    """False only where the counts of letters rule similar() out."""
     chars = np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)])
-    plain = np.array([p.isascii() and q.isascii() for p, q in zip(x, y, strict=True)])
-    return most <= (chars - least * chars + 1e-9).astype(np.int64) * np.where(plain, 1, 4)
+    return _by_letters(x, y) <= (chars - least * chars + 1e-9).astype(np.int64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -607,6 +735,12 @@ def _untested(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> D
     return full.where(_near("x", "y")).select("a", "b")
 
 
+def _united(*edges: DataFrame) -> DataFrame:
+    """components() of stored `a, b`, read in as few tasks as their chunks allow: the more edges a task sees, the fewer are left for the rounds."""
+    each = reduce(DataFrame.union, (e.select("a", "b") for e in edges))
+    return stored(components(each.coalesce(max(1, -(-each.count() // CHUNK)))), "roots")
+
+
 def line_groups(source: _Source) -> DataFrame:
     """`node, root` of line keys: the connected components of all pairs that share a block, may be similar by _near() and have edit similarity SIMILARITY or more.
 
@@ -615,16 +749,13 @@ def line_groups(source: _Source) -> DataFrame:
     the label most frequent there, round by round with other lines, until rounds no longer
     unite much; then all pairs of different labels that are left are tested, in cells.
     """
-    own = Window.partitionBy("block")
-    spread = source.blocks().select("block", "key", F.min("key").over(own).alias("rep"), F.max("key").over(own).alias("last"))
-    shared = stored(spread.where("rep < last").select("block", "key", "rep").dropDuplicates(["block", "key"]), "shared")
-    del spread
+    shared = stored(source.shared(), "shared")
     sweep(source.spark)
     keys = stored(shared.select("key").distinct(), "wanted")
     texts = stored(source.texts(keys), "texts")
     sweep(source.spark)
     tested = _tested(stored(_untested(shared.where("key != rep").select("key", "rep"), texts, None), "star"), texts, "tested")
-    roots = stored(components(tested.where("ok")), "roots")
+    roots = _united(tested.where("ok"))
     members = stored(shared.join(shared.groupBy("block").count().where("count > 2").select("block"), "block").select("block", "key"), "members")
     release(keys, shared)
     before, turn = None, 0
@@ -639,14 +770,14 @@ def line_groups(source: _Source) -> DataFrame:
         last = before is not None and (left <= PAIRS_A_LINE * rows or left > 0.75 * before)
         if last:
             more = stored(_mixed_links(named, mixed, texts), "more")
-            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+            roots = _united(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), more)
             break
         ones = each.join(mixed.select("block", "major"), "block")
         most = ones.where("label = major").select("block", F.col("one").alias("rep"))
         pairs = _untested(ones.where("label != major").join(most, "block").select(F.col("one").alias("key"), "rep"), texts, tested)
         more = _tested(stored(pairs, "pairs"), texts, "more")
         if more.where("ok").limit(1).count() > 0:
-            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.where("ok").select("a", "b"))), "roots")
+            roots = _united(roots.select(F.col("node").alias("a"), F.col("root").alias("b")), more.where("ok"))
         tested = stored(tested.union(more), "tested")
         before, turn = left, turn + 1
     release(texts, members)
@@ -654,8 +785,8 @@ def line_groups(source: _Source) -> DataFrame:
     return roots
 
 
-#: Cells are taken together until they have so many rows, and pairs of rows until there are so many.
-CELL_ROWS, CELL_PAIRS = 4096, 1 << 19
+#: Cells are taken together until they have so many rows or bytes, and pairs of rows until there are so many.
+CELL_ROWS, CELL_BYTES, CELL_PAIRS = 1 << 15, 1 << 24, 1 << 21
 
 
 def _links_in(rows: pa.Table, root: dict[int, int]) -> Iterator[tuple[int, int]]:
@@ -724,6 +855,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     root: dict[int, int] = {}
     last = None
+    rows = size = 0
 
     def links() -> Iterator[pa.RecordBatch]:
         found = list(_links_in(pa.Table.from_batches(held), root))
@@ -732,20 +864,22 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for whole in batches:
-        for begin in range(0, whole.num_rows, CELL_ROWS):
-            batch = whole.slice(begin, CELL_ROWS)
+        for begin in range(0, whole.num_rows, 1 << 10):
+            batch = whole.slice(begin, 1 << 10)
             at = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "i", "j")])
             cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
             if last is not None and tuple(at[:, 0].tolist()) != last:
                 cuts = np.concatenate(([0], cuts))
             last = tuple(at[:, -1].tolist())
             rest = 0
-            if len(cuts) and sum(b.num_rows for b in held) + int(cuts[-1]) >= CELL_ROWS:
+            rows += batch.num_rows
+            size += batch.nbytes
+            if len(cuts) and (rows >= CELL_ROWS or size >= CELL_BYTES):
                 rest = int(cuts[-1])  # where the last cell begins, which may go on
                 if rest:
                     held.append(batch.slice(0, rest))
                 yield from links()
-                held = []
+                held, rows, size = [], batch.num_rows - rest, 0
             held.append(batch.slice(rest))
     if held:
         yield from links()
